@@ -7,7 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import common, packing, tokencount, tokenfile
+from vitrine.llm import common, linededup, packing, simhash, tokencount, tokenfile, toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,15 +27,46 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(spark, path)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(common.table(spark, sf_dir, "documents"), least=20, documents=3)
+
+
+OP7_SQL = """
+WITH lines AS (
+    SELECT doc_id, i, line,
+           translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i
+          FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
+), frequent AS (
+    SELECT key, max(doc_id) AS last FROM lines WHERE length(key) >= 20
+    GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+    SELECT l.doc_id, l.i, l.line, f.last IS NOT NULL AND f.last <> l.doc_id AS gone
+    FROM lines l LEFT JOIN frequent f ON l.key = f.key
+)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return tokencount.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op3_token_files": op3_token_files,
+    "op5_simhash": op5_simhash,
+    "op7_line_dedup": op7_line_dedup,
     "op9_token_counts": op9_token_counts,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL}
