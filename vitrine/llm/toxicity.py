@@ -38,9 +38,10 @@ WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
 #: Labelled documents that training reads at most.
 SAMPLE = 8_000
-PRIOR = 500.0
+#: Prior counts of a feature: so many, and this share of its count overall.
+PRIOR_LEAST, PRIOR_SHARE = 0.5, 0.01
 #: Standard errors taken off; the least log-odds left; what each word loses; the largest score.
-Z_LEAST, ODDS_LEAST, DRIFT, MOST_SCORE = 3.0, 1.0, 0.02, 8.0
+Z_LEAST, ODDS_LEAST, DRIFT, MOST_SCORE = 3.0, 1.4, 0.02, 8.0
 SIGNIFICANT = 1.0  # bits, in nats: segments above this count
 
 
@@ -134,14 +135,13 @@ class Model:
 def log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
     """Scores of the features that differ significantly, from counts of documents."""
     every = toxic + clean
-    weight = PRIOR / max(1, n_toxic + n_clean)
     out = {}
     for f, n in every.items():
         if n < 3:
             continue
-        prior = weight * n
+        prior = PRIOR_LEAST + PRIOR_SHARE * n
         a, b = toxic[f] + prior, clean[f] + prior
-        rest_a, rest_b = n_toxic + PRIOR - a, n_clean + PRIOR - b
+        rest_a, rest_b = n_toxic + 2 * prior - a, n_clean + 2 * prior - b
         delta = math.log(a / max(rest_a, 0.5)) - math.log(b / max(rest_b, 0.5))
         sure = abs(delta) - Z_LEAST * math.sqrt(1 / a + 1 / b)
         if sure >= ODDS_LEAST:
@@ -196,8 +196,9 @@ def fitted(rows: list[tuple[str | None, int]]) -> Model:
             clean = Counter({f: c for f, c in clean.items() if c > 1 or f in toxic})
     model = Model(log_odds(toxic, clean, n[1], n[0]))
     del toxic, clean
-    if not n[0] or not n[1]:
-        return Model({}, offset=-3.0)
+    rate = max(1e-3, min(0.4, n[1] / max(1, sum(n))))
+    if not n[0] or not n[1] or not model.scores:
+        return Model({}, offset=math.log(rate / (1 - rate)))
     each = Counter()
     best = []
     for text, label in rows:
