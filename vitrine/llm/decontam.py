@@ -238,16 +238,18 @@ def without_contaminated(docs: DataFrame, items: DataFrame, similarity: float =
     """The rows of docs, all columns as they are, in whose whole text no benchmark passage is found."""
     spark = docs.sparkSession
     for search in searches(items, similarity):
-        held = spark.sparkContext.broadcast(search)
+        docs = docs.where(_clean(spark.sparkContext.broadcast(search))(F.col(text)))
+    return docs
 
-        @F.arrow_udf("boolean")
-        def clean(batches: Iterator[pa.Array], held=held) -> Iterator[pa.Array]:
-            for texts in batches:
-                marks: list[bool] = []
-                one = pa.RecordBatch.from_arrays([texts], names=["t"])
-                for part in common.slices(one, 0):
-                    marks += [not m for m in held.value.matches(part.column(0).to_pylist())]
-                yield pa.array(marks, pa.bool_())
 
-        docs = docs.where(clean(F.col(text)))
-    return docs
+def _clean(held):
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            marks: list[bool] = []
+            one = pa.RecordBatch.from_arrays([texts], names=["t"])
+            for part in common.slices(one, 0):
+                marks += [not m for m in held.value.matches(part.column(0).to_pylist())]
+            yield pa.array(marks, pa.bool_())
+
+    return clean
