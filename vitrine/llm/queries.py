@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import common, decontam, linededup, packing, simhash, tokencount, tokenfile, toxicity
+from vitrine.llm import common, decontam, linededup, packing, secrets, simhash, tokencount, tokenfile, toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(spark, common.table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return tokencount.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_decontamination": op6_decontamination,
     "op7_line_dedup": op7_line_dedup,
+    "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
 }
 
