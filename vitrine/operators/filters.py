@@ -96,7 +96,8 @@ def category_matches(name: Column, target: str) -> Column:
 
 
 def in_categories(targets: list[str], categories: str | Column = "categories") -> Column:
-    return _any([F.exists(S.col(categories), lambda c, t=t: category_matches(c, t)) for t in targets])
+    one = lambda target: F.exists(S.col(categories), lambda c: category_matches(c, target))
+    return _any([one(t) for t in targets])
 
 
 def has_tag(value: str, tags: str | Column = "tags") -> Column:

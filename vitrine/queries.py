@@ -172,9 +172,9 @@ def suggested_tags(spark, d):
     return catalog.suggested_tags(catalog.tag_counts(cat.tags, cat.media_tags), " TION ", limit=12).select("id", "name", "count", "kind")
 
 
-@query("tag_list", "SELECT id, name, tag_kind FROM tags WHERE NOT is_category AND tag_kind = 'descriptive' AND contains(lower(name), 'steel')")
+@query("tag_list", "SELECT id, name, tag_kind FROM tags WHERE NOT is_category AND tag_kind = 'descriptive' AND contains(lower(name), 'a')")
 def tag_list(spark, d):
-    return filters.tag_list(derived.tags(spark, d), "descriptive", "STEEL").select("id", "name", "tag_kind")
+    return filters.tag_list(derived.tags(spark, d), "descriptive", "A").select("id", "name", "tag_kind")
 
 
 @query("category_facet", "SELECT name FROM tags WHERE is_category")
@@ -489,11 +489,11 @@ def progress_series(spark, d):
 
 @query("progress_eta", SERIES + """,
 b AS (SELECT *, current - first_value(current) OVER w AS done, (epoch_us(ts) - first_value(epoch_us(ts)) OVER w) / 1e6 AS el FROM s WINDOW w AS (PARTITION BY series_key, series ORDER BY ts, event_id))
-SELECT event_id, series, round(CASE WHEN done > 0 AND el > 0.5 THEN el / done END, 6) AS sec_per_item,
+SELECT event_id, series, round(CASE WHEN done > 0 AND el > 0.5 THEN el / done END, 3) AS sec_per_item,
  CAST(floor(CASE WHEN done > 0 AND el > 0.5 THEN el / done END * greatest(0, 1000 - current + 1) + 0.5) AS BIGINT) AS eta_sec FROM b""", with_catalog=False)
 def progress_eta(spark, d):
     rows = progress.with_eta(derived.progress_events(spark, d), order=("ts", "event_id"))
-    return rows.select("event_id", "series", F.round("sec_per_item", 6).alias("sec_per_item"), "eta_sec")
+    return rows.select("event_id", "series", F.round("sec_per_item", 3).alias("sec_per_item"), "eta_sec")
 
 
 ROWS = """

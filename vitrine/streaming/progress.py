@@ -13,7 +13,7 @@ OUT = "series_key string, ts timestamp, total long, current long, series long, s
 def _paces(total: Column, current: Column, ts: Column, base_current: Column, base_ts: Column) -> tuple[Column, Column]:
     """(seconds an item, seconds left), null while measuring: nothing done, or half a second at most."""
     done = current - base_current
-    elapsed = F.unix_micros(ts) - F.unix_micros(base_ts)
+    elapsed = F.unix_micros(ts.cast("timestamp")) - F.unix_micros(base_ts.cast("timestamp"))
     pace = F.when((done > 0) & (elapsed > 500_000), elapsed / 1e6 / done)
     return pace, F.floor(pace * F.greatest(F.lit(0), total - current + 1) + 0.5).cast("long")
 
