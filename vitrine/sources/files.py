@@ -16,7 +16,8 @@ def _plain(path):
 
 def listed(spark: SparkSession, folders: list[str], hashes: bool = True) -> DataFrame:
     """Supported files below the folders, each once: file_path, parent_folder, file_size,
-    file_modified_at and, if asked, file_hash of the first 64 KiB. Without hashes no content is read."""
+    file_modified_at and, if asked, file_hash of the first 64 KiB. Without hashes no content is read.
+    Files of no bytes are not listed: Spark's source skips them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(folders)
     path = _plain(F.col("path"))
     rows = files.where(S.is_supported("path"))

@@ -39,10 +39,11 @@ def is_finished(status: str = "status", paused: str = "is_paused") -> Column:
     return (F.col(status) == "Completed") | (F.col(status).contains("Stopped") & ~F.coalesce(F.col(paused), F.lit(False)))
 
 
-def stream_eta(events: DataFrame) -> DataFrame:
+def stream_eta(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """with_eta over a stream of events (series_key, ts, total, current), one state for each key.
 
-    Events of a micro-batch are taken in the order of ts. A key that is silent for an hour is forgotten.
+    Events of a micro-batch are taken in the order of ts. With idle_ms, a key that is silent so long is
+    forgotten; such a stream keeps running batches, so it does not end by itself with availableNow.
     """
     shape = "total long, current long, base_current long, base_us long, series long"
 
@@ -65,14 +66,16 @@ def stream_eta(events: DataFrame) -> DataFrame:
             eta = None if pace is None else int(pace * max(0, total - current + 1) + 0.5)
             out.append((key[0], r.ts, total, current, series, pace, eta))
         state.update((total, current, int(base), int(base_us), int(series)))
-        state.setTimeoutDuration(3_600_000)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         frame = pd.DataFrame(out, columns=["series_key", "ts", "total", "current", "series", "sec_per_item", "eta_sec"])
         yield frame.astype({"eta_sec": "Int64", "sec_per_item": "Float64"})
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    wait = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     slim = events.select("series_key", "ts", "total", "current")
-    return slim.groupBy("series_key").applyInPandasWithState(follow, OUT, shape, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return slim.groupBy("series_key").applyInPandasWithState(follow, OUT, shape, "append", wait)
 
 
 def every_nth(events: DataFrame, n: int = 5) -> DataFrame:
