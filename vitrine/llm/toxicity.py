@@ -235,6 +235,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([*m.scores.values(), m.lambda_, m.k, m.slope, m.offset], pa.float64())], names=["f", "s"])
 
     got = {r.f: r.s for r in rows.repartition(1).mapInArrow(fit, "f string, s double").collect()}
+    if not got:  # no labelled document at all
+        return fitted([])
     rest = {k: got.pop("\t" + k) for k in ("lambda", "k", "slope", "offset")}
     return Model(got, rest["lambda"], rest["k"], rest["slope"], rest["offset"])
 
