@@ -150,12 +150,16 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, vector: st
     candidate; fewer than k candidates are all returned. Ties go to the smaller id. Vectors that
     whole_numbers() leaves out take no part, and vectors meet only those of their own length.
     Repeated rows are candidates each; a query id that occurs twice is asked twice. Only key and
-    vector are read. No rows or no queries: an empty result.
+    vector are read. No rows or no queries: an empty result. Vectors so long that a score could pass
+    64 bits are refused with an error.
     """
     spark = vectors.sparkSession
     rows = common.written(whole_numbers(vectors, scale, vector, key), "whole-vectors")
     queries = rows.where(is_query(F.col("id")))
     n, most = queries.count(), rows.agg(F.max(F.aggregate("q", F.lit(0.0), lambda a, x: a + x.cast("double") * x))).first()[0]
+    bound = int(most * 1.01) + 2 if most is not None else 1
+    if bound >= 1 << 62:
+        raise ValueError("scores of these vectors don't fit into 64 bits")
     parts = max(1, -(-n // GROUP))
     out = None
     for p in range(parts):
@@ -163,7 +167,6 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, vector: st
         by_length: dict[int, list] = {}
         for r in own.orderBy("id").collect():
             by_length.setdefault(len(r.q), []).append((r.id, r.q))
-        bound = int(most * 1.01) + 2 if most is not None else 1
         held = {d: _Group(np.array([i for i, _ in x], dtype=np.int64), np.array([q for _, q in x], dtype=np.int64), bound, k) for d, x in by_length.items()}
         while any(g.open.any() for g in held.values()):
             groups = spark.sparkContext.broadcast(held)
