@@ -85,7 +85,7 @@ def test_one_of_each(spark, docs, no_docs):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
     ids = sorted(r.doc_id or 0 for r in kept.collect())
-    assert ids == [0, 1, 2, 3, 4, 8, 9, 9, 11]
+    assert ids == [0, 1, 3, 4, 8, 9, 9, 11]  # 2 shares 12 of 14 shingles with 1
     assert simhash.one_of_each(no_docs).count() == 0
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 7))

@@ -198,7 +198,7 @@ TRICKY = [
 
 def test_secret_spans(spark, docs, no_docs):
     rows = [(i, t) for i, t in enumerate(TRICKY)] + [(100 + n, t) for n, (_, t) in enumerate(TEXTS)]
-    table = secrets.trained(secrets.samples(spark.createDataFrame(rows * 3, "doc_id long, text string")))
+    table = secrets.trained(secrets.samples(spark.read.parquet(f"{SF}/documents.parquet")))
     got = {r.doc_id: r for r in secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()}
     for i, t in rows:
         want = base_spans(t or "")

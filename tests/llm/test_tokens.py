@@ -83,11 +83,11 @@ def test_packs_every_id_once(docs, no_docs):
 
 def test_sum_of_squares_choice():
     p = packing.Packer(10)
-    for size in (3, 3, 7):
+    for size in (3, 7, 3, 4):
         p.add("d", b"abcd" * size)
-    assert len(p.closed) == 1 and p.levels[3] == 1  # 7 fills a 3
+    assert len(p.closed) == 1 and p.levels[3] == 0 and p.levels[7] == 1  # 7 filled a 3, 4 joined the other
     p.finish()
-    assert sorted(sum(map(len, s)) for s in p.closed) == [1, 2, 10]
+    assert sorted(sum(map(len, s)) for s in p.closed) == [1, 2, 4, 10]
 
 
 def test_token_files(spark, docs, no_docs, tmp_path, monkeypatch):

@@ -38,8 +38,10 @@ def test_top_k(spark, monkeypatch, group):
 
 
 def test_large_components_stay_exact(spark):
-    rows = [(i, [float(2**26 + i), -float(2**26 - i)]) for i in range(0, 60)]
+    rows = [(i, [float(2**20 + i), -float(2**20 - i)]) for i in range(0, 60)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [2.0**30])], "vec_id long, embedding array<double>"), lambda i: i == 0)
     assert sorted(map(tuple, topk.top_k(df, lambda i: i % 10 == 0).collect())) == brute(rows, lambda i: i % 10 == 0)
 
 
