@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +10,10 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.sources.shared import shared_path, written
+
+__all__ = ["F", "crc_of_id", "shared_path", "ship", "slices", "smallest_hashes", "table", "written"]
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -30,38 +32,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a local one only if unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/vitrine-shared-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def with_checkpoints(spark: SparkSession) -> None:
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new place in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: lineage ends here."""
-    spark = df.sparkSession
-    path = shared_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_of_id(doc_id: str | Column = "doc_id") -> Column:
     """crc32 of the id as text."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"))
 
 
+def smallest_hashes(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The `most` rows (all, if fewer) with the smallest hashes of key.
+
+    A bound on the hash from a count leaves about twice as many to order, however many there were.
+    """
+    h = F.xxhash64(key)
+    share = min(1.0, (2 * most + 200) / max(1, rows.count()))
+    return rows.where(h <= min(int(share * 2**64) - 2**63, 2**63 - 1)).orderBy(h, key).limit(most)
+
+
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20, most_rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of each part come to about most_bytes (one long text stays whole)."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
