@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.llm import common
+
 #: Kinds in the order of listing; patterns of the base kinds, and what a match must have.
 KINDS = ["assign", "access", "hex", "markov"]
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -40,7 +42,8 @@ def samples(docs: DataFrame, text: str = "text", key: str = "doc_id", random: in
     b64 = F.base64(F.unhex("h"))
     kinds = [F.substring("h", 1, 40), F.upper(F.regexp_replace(b64, "[^A-Za-z2-7]", "")), F.regexp_replace(b64, "[^A-Za-z0-9]", ""), b64]
     made = drawn.select(F.explode(F.array(*kinds)).alias("token"), F.lit(True).alias("is_random"))
-    some = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).orderBy(F.xxhash64("k"), "k").limit(documents)
+    chosen = common.smallest_hashes(docs.select(F.col(key).alias("k")).where("k IS NOT NULL"), "k", documents)
+    some = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen.distinct()), "k")  # bounded by documents
     words = some.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit("[A-Za-z]{3,}"), F.lit(0)))).alias("token"))
     joined = words.select(F.explode(F.array("token", F.concat("token", F.lit("_"), F.lower("token")), F.concat(F.lower("token"), F.initcap("token")), F.concat(F.lit("get-"), "token", F.lit("="), F.lower("token"), F.lit("2")))).alias("token"))
     return made.unionByName(joined.select("token", F.lit(False).alias("is_random")))
