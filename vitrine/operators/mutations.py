@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import scalar as S
 from vitrine.operators import filters
+from vitrine.sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -18,11 +19,21 @@ class Catalog:
     media_tags: DataFrame
 
 
-def _next_ids(new: DataFrame, old: DataFrame, *order: str | Column) -> DataFrame:
-    """new with ids after old's largest, in a given order."""
-    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
-    numbered = new.withColumn("id", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    return numbered.join(F.broadcast(top), how="left").withColumn("id", F.col("id") + F.col("__top")).drop("__top")
+def _next_ids(new: DataFrame, old: DataFrame, order: str) -> DataFrame:
+    """new with ids after old's largest, in the order of a column.
+
+    Rows are dealt by ranges of the column and numbered within each; the driver adds up one count for
+    each range, so no task gets all rows. The ranges are written first, so that numbers stay.
+    """
+    ranged = new.drop("id").repartitionByRange(F.col(order)).withColumn("__range", F.spark_partition_id())
+    dealt = written(ranged, "new-rows")
+    base, before = old.agg(F.max("id")).first()[0] or 0, {}
+    for r in sorted(dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()):
+        before[r[0]] = base
+        base += r[1]
+    offsets = dealt.sparkSession.createDataFrame(list(before.items()), "__range int, __before long")
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(order))
+    return dealt.withColumn("__place", place).join(F.broadcast(offsets), "__range").withColumn("id", F.col("__before") + F.col("__place")).drop("__range", "__before", "__place")
 
 
 def set_setting(settings: DataFrame, key: str, value: str) -> DataFrame:
