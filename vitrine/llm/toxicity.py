@@ -225,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
     labels and ids are left out. One executor task fits the model; the driver gets the scores.
     """
     chosen = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where(F.col("k").isNotNull() & F.col("y").isNotNull() & (common.crc_of_id("k") % 5 != 0)).groupBy("k").agg(F.max("y").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("k"), "k").limit(sample)
+    chosen = common.smallest_hashes(chosen, "k", sample)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").select(F.col("t"), F.col("y").cast("int").alias("y"))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
