@@ -16,6 +16,7 @@ from vitrine.operators import analysis, catalog, filters, ingest, mutations, rep
 from vitrine.plans import derived, search
 from vitrine.plans.sql_catalog import CATALOG
 from vitrine.sources import json_files, settings
+from vitrine.sources.shared import written
 from vitrine.schema import SETTINGS, empty, seeded_settings
 from vitrine.streaming import progress
 
@@ -376,8 +377,6 @@ x4 AS (SELECT id1, id2, rule, CASE rule WHEN 'a' THEN '同一日本語表記 ('
 
 def _featured(spark, d):
     cat = derived.catalog(spark, d)
-    from vitrine.sources.shared import written
-
     tags = written(resolution.featured(catalog.tag_counts(cat.tags, cat.media_tags)), "tags")
     return cat, tags
 
@@ -425,8 +424,6 @@ SQL["merge_components"] = _components_sql("SELECT tag_id, group_id FROM x7")
 
 @query("merge_suggestions")
 def merge_suggestions(spark, d):
-    from vitrine.sources.shared import written
-
     cat, tags = _featured(spark, d)
     found = written(resolution.pairs(tags), "pairs")
     got = resolution.suggestions(tags, found, cat.media, cat.media_tags)
@@ -452,6 +449,11 @@ def analysis_parse(spark, d):
     return got.select("media_id", "error", F.when(F.col("error").isNull(), F.size("result.tags")).alias("n_tags"))
 
 
+def _decoded(spark, d):
+    """Decoded once and written: filters and unions over it would else repeat the decoding."""
+    return written(analysis.decoded(derived.responses(spark, d)), "decoded")
+
+
 @query("analysis_tags", """
 WITH r AS (SELECT doc_id AS media_id, doc_id % 12 AS k, 'token' || (doc_id % 50) AS t FROM documents)
 SELECT media_id, 'category' AS kind, CASE k WHEN 0 THEN 'animal' WHEN 1 THEN 'food' WHEN 3 THEN 'tech' ELSE 'other' END AS en, CAST(NULL AS VARCHAR) AS ja FROM r WHERE k IN (0, 1, 3, 11)
@@ -459,7 +461,7 @@ UNION ALL SELECT media_id, 'basic', t, CASE k WHEN 0 THEN 'x' WHEN 1 THEN '' WHE
 UNION ALL SELECT media_id, 'basic', 'red_car', 'y' FROM r WHERE k = 1
 UNION ALL SELECT media_id, 'descriptive', 'wet_' || t, 'w' FROM r WHERE k = 2""", with_catalog=False)
 def analysis_tags(spark, d):
-    return analysis.tag_rows(analysis.decoded(derived.responses(spark, d)))
+    return analysis.tag_rows(_decoded(spark, d))
 
 
 @query("analysis_upsert", """
@@ -471,7 +473,7 @@ x3 AS (SELECT name, min(ja) AS ja FROM x2 GROUP BY name)
 SELECT id, name, name_ja, is_category, tag_kind FROM tags
 UNION ALL SELECT (SELECT max(id) FROM tags) + row_number() OVER (ORDER BY name), name, ja, FALSE, 'basic' FROM x3""")
 def analysis_upsert(spark, d):
-    rows = analysis.tag_rows(analysis.decoded(derived.responses(spark, d))).where("kind = 'basic'")
+    rows = analysis.tag_rows(_decoded(spark, d)).where("kind = 'basic'")
     return mutations.upsert_tags(derived.tags(spark, d), rows)
 
 
