@@ -98,3 +98,58 @@ def test_one_of_each(spark, docs, no_docs):
         rows += [(3 * g, " ".join(words)), (3 * g + 1, " ".join(near)), (3 * g + 2, " ".join(far))]
     got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i for i in range(120) if i % 3 != 1}
+
+
+def shared(n, similarity, rng):
+    """Two texts of n shingles of five words each; the last words differ so that their sets have about that similarity."""
+    both = int(np.ceil(2 * n * similarity / (1 + similarity) - 1e-9))
+    words = ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(2 * n - both + 4)]
+    return " ".join(words[: n + 4]), " ".join(words[n - both :])
+
+
+def jaccard(a, b):
+    a, b = set(simhash.shingles(a, 5)), set(simhash.shingles(b, 5))
+    return len(a & b) / len(a | b)
+
+
+def test_one_of_each_at_the_bound(spark):
+    """Of pairs of similarity 0.80, 0.85 and 0.90 nearly all are found; none below 0.8 is."""
+    rng = np.random.default_rng(8)
+    rows, bound = [], {}
+    for n in (100, 400):
+        for s in (0.7, 0.75, 0.79, 0.8, 0.85, 0.9):
+            for _ in range(60):
+                k = len(rows)
+                rows += [(k + i, t) for i, t in enumerate(shared(n, s, rng))]
+                bound[k + 1] = s, jaccard(rows[k][1], rows[k + 1][1])
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not set(range(0, len(rows), 2)) - kept
+    for s, least in ((0.8, 0.97), (0.85, 0.99), (0.9, 0.99)):
+        found = [i not in kept for i, (t, _) in bound.items() if t == s]
+        assert sum(found) >= least * len(found), s
+    assert all(i in kept for i, (_, j) in bound.items() if j < 0.8)
+
+
+def test_one_of_each_tries_all_that_matter(spark):
+    """Chains and groups where many candidates fail: components are those of all pairs."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    rows = []
+    for _ in range(6):
+        base = [word() for _ in range(260)]
+        rows += [(len(rows) + i, " ".join(base[8 * i : 8 * i + 170])) for i in range(7)]  # neighbours are alike, others less
+    for _ in range(2):
+        base = [word() for _ in range(200)]
+        for _ in range(30):
+            words = base[:]
+            for at in rng.integers(0, 200, 4):
+                words[at] = word()
+            rows.append((len(rows), " ".join(words)))
+    texts = dict(rows)
+    label = {i: i for i in texts}
+    pairs = [(i, j) for i, j in combinations(texts, 2) if jaccard(texts[i], texts[j]) >= 0.8]
+    for _ in texts:
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i in texts if label[i] == i}

@@ -14,6 +14,11 @@ kept. Buckets of more than BUCKET fingerprints are cut into blocks by hash and e
 is compared in a place of its own, so no link is lost and no task gets an unbounded group.
 
 Equal fingerprints are one row from the start, so copies cost nothing.
+
+Where a Jaccard bound is asked for, fingerprints only find candidates, in a radius that leaves room
+for their error. A link counts if the shingle sets themselves reach the bound. Two rounds verify all
+candidates that matter: the first one tries a few for each text; the second one tries every candidate
+pair whose ends are not yet in one component.
 """
 
 from __future__ import annotations
@@ -56,12 +61,17 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def fingerprint(text: str | None, size: int = 3, words: int = 1, distinct: bool = False) -> bytes:
+def fingerprint(text: str | None, size: int = 3, words: int = 1) -> bytes:
     """64 * words bits, little-endian; all zero for a text without words."""
-    found = shingles(text, size)
-    if distinct:
-        found = list(set(found))
-    hashes = np.array([xxhash.xxh64_intdigest(s, 42) for s in found], dtype=np.uint64)
+    return majority(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(text, size)], dtype=np.uint64), words)
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The sorted 64-bit hashes of the distinct shingles."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in set(shingles(text, size))], dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray, words: int) -> bytes:
     n, out = len(hashes), []
     for k in range(words):
         total = np.zeros(64, dtype=np.int64)
@@ -72,12 +82,12 @@ def fingerprint(text: str | None, size: int = 3, words: int = 1, distinct: bool
     return b"".join(out)
 
 
-def fingerprints(docs: DataFrame, size: int, words: int = 1, distinct: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
+def fingerprints(docs: DataFrame, size: int, words: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(id, fp) for each row of docs, in one pass."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py(), size, words, distinct) for t in batch.column(1)]
+            fps = [fingerprint(t.as_py(), size, words) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], names=["id", "fp"])
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(each, "id long, fp binary")
@@ -187,8 +197,43 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def links(reps: DataFrame, radius: int, keys: list[np.ndarray], bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) that connect whatever fingerprints of reps (rep long, fp binary) are linked."""
+def connecting(ids: np.ndarray, cells: np.ndarray, own: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links to the first row that close pairs lead to."""
+    label = spanning(len(ids), a, b)
+    moved = label != np.arange(len(ids))
+    return ids[moved], ids[label[moved]]
+
+
+def _ordered(ids: np.ndarray, order: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second, rank of each row): pairs with the row of smaller rank first; ids rank by hash, in the given order."""
+    rank = _mixed(ids.view(np.uint64) ^ order.astype(np.uint64) << np.uint64(60), 1)
+    swap = rank[a] > rank[b]
+    return np.where(swap, b, a), np.where(swap, a, b), rank
+
+
+def tried(ids: np.ndarray, cells: np.ndarray, own: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a cell one close pair, with the row that comes first; cells share four orders of all rows."""
+    first, second, rank = _ordered(ids, cells & 3, a, b)
+    order = np.lexsort((rank[first], second))
+    first, second = first[order], second[order]
+    new = np.r_[True, second[1:] != second[:-1]][: len(second)]
+    return ids[first[new]], ids[second[new]]
+
+
+def apart(ids: np.ndarray, cells: np.ndarray, own: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All close pairs of rows whose own components differ."""
+    first, second, _ = _ordered(ids, np.zeros(len(ids)), a, b)
+    new = own[first] != own[second]
+    return ids[first[new]], ids[second[new]]
+
+
+def links(reps: DataFrame, radius: int, keys: list[np.ndarray], bucket: int = BUCKET, pick=connecting) -> DataFrame:
+    """Links (a, b) between close fingerprints of reps (rep long, fp binary, perhaps own long), as picked in each cell.
+
+    By default they connect whatever fingerprints are linked.
+    """
+    also = [c for c in ("own",) if c in reps.columns]
+    more = "".join(f", {c} long" for c in also)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,17 +242,17 @@ def links(reps: DataFrame, radius: int, keys: list[np.ndarray], bucket: int = BU
                 opened = np.unpackbits(fps, axis=1, bitorder="little")
                 for k, at in enumerate(keys):
                     value = opened[:, at].astype(np.int64) @ (np.int64(1) << np.arange(len(at), dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(value * len(keys) + k), part.column(0), part.column(1)], names=["key", "rep", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(value * len(keys) + k), *part.columns], names=["key", "rep", "fp", *also])
 
-    rows = reps.select("rep", "fp").mapInArrow(keyed, "key long, rep long, fp binary")
+    rows = reps.select("rep", "fp", *also).mapInArrow(keyed, "key long, rep long, fp binary" + more)
     hot = common.written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket), "hot-buckets")
     if hot.count() <= BROADCAST_KEYS:
         hot = F.broadcast(hot)
     blocks = F.coalesce(F.ceil(F.col("n") / (bucket / 2)), F.lit(1)).cast("int")
     dealt = rows.join(hot, "key", "left").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
     # blocks i and j meet in cell (i, j); with one block there is one cell
-    dealt = dealt.select("key", "rep", "fp", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "rep", "fp")
+    dealt = dealt.select("key", "rep", "fp", *also, "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "rep", "fp", *also)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -222,9 +267,8 @@ def links(reps: DataFrame, radius: int, keys: list[np.ndarray], bucket: int = BU
             body = t.column(2).filter(pa.array(keep)).to_pylist()
             fps = np.frombuffer(b"".join(body), dtype=np.uint8).reshape(len(ids), -1)
             a, b = close_pairs(cells[keep], fps, radius)
-            label = spanning(len(ids), a, b)
-            moved = label != np.arange(len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["a", "b"])
+            own = t.column(3).to_numpy()[keep] if also else ids
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pick(ids, cells[keep], own, a, b)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -268,20 +312,76 @@ def _reversed(column: str):
 
 
 def similar(bits: int, similarity: float) -> int:
-    """The radius at which the angle of sets of that Jaccard similarity lies, for that many bits."""
+    """A radius for candidates: where the angle of sets of that Jaccard similarity lies for that many bits, and three deviations more."""
     cosine = 2 * similarity / (1 + similarity)
-    return int(round(bits * float(np.arccos(cosine)) / np.pi))
+    differ = float(np.arccos(cosine)) / np.pi
+    return int(round(bits * differ + 3 * (bits * differ * (1 - differ)) ** 0.5))
 
 
-def one_of_each(docs: DataFrame, similarity: float = 0.8, size: int = 5, words: int = 5, width: int = 13, text: str = "text", key: str = "doc_id") -> DataFrame:
+def drawn(bits: int, width: int, count: int) -> list[np.ndarray]:
+    """count sets of bit positions: bands of as many permutations as it takes, always the same."""
+    rng, found = np.random.default_rng(20240), []
+    while len(found) < count:
+        order = rng.permutation(bits)
+        found += [np.sort(order[at]) for at in bands(bits, width)]
+    return found[:count]
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, sorted, have that Jaccard similarity or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (rep long, held binary) are alike. Rows of a hot a meet its set before they get their own."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(i).to_pylist() for i in (2, 3))
+            good = [alike(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), similarity) for p, q in zip(x, y, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("held").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(each, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8, size: int = 5, words: int = 5, width: int = 13, count: int = 48, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs, all columns as they are, with the row of smallest key from each group of near-duplicates.
 
-    Similarity is that of the sets of size-word shingles, as estimated by 64 * words fingerprint
-    bits. Candidates agree on one of 64 * words / width bands; with the defaults 95 in 100 pairs of
-    similarity 0.8 do, and 999 in 1,000 of 0.9. Texts without words are one group. Rows that share
-    a key share their fate; rows with null keys stay.
+    Rows are linked if their sets of size-word shingles (by 64-bit hashes) have that Jaccard similarity
+    or more. Candidates differ in few of 64 * words fingerprint bits and agree on one of count sets of
+    width bits; with the defaults 99 in 100 pairs of similarity 0.8 are. Texts without words
+    are one group. Rows that share a key share their fate; rows with null keys stay.
     """
     bits = 64 * words
-    fps = common.written(fingerprints(docs, size, words, True, text=text, key=key), "doc-fingerprints")
-    gone = classes(fps, similar(bits, similarity), bands(bits, width)).where("id <> component_id").select(F.col("id").alias("__gone")).distinct()
+    radius, keys = similar(bits, similarity), drawn(bits, width, count)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t.as_py(), size) for t in batch.column(1)]
+            same = [xxhash.xxh64_intdigest(x.tobytes()) - 2**63 for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([majority(x, words) for x in found], pa.binary()), pa.array(same, pa.int64())], names=["id", "fp", "same"])
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, 0):
+                found = [shingle_set(t.as_py(), size).tobytes() for t in part.column(0)]
+                same = [xxhash.xxh64_intdigest(x) - 2**63 for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(same, pa.int64()), pa.array(found, pa.binary())], names=["same", "held"])
+
+    fps = common.written(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(marked, "id long, fp binary, same long"), "doc-fingerprints")
+    reps = common.written(fps.groupBy("same").agg(F.min("id").alias("rep"), F.min("fp").alias("fp")), "fingerprints")
+    nodes = reps.where(F.col("rep").isNotNull())
+    first = common.written(links(nodes, radius, keys, pick=tried), "candidates")
+    ends = first.select(F.col("a").alias("rep")).union(first.select("b")).distinct()
+    near = common.written(nodes.join(ends, "rep", "left_semi"), "near")
+    sets = docs.select(F.col(text).alias("t")).mapInArrow(held, "same long, held binary").groupBy("same").agg(F.first("held").alias("held"))
+    sets = common.written(sets.join(near.select("same", "rep"), "same").select("rep", "held"), "shingle-sets")
+    good = common.written(verified(first, sets, similarity), "links")
+    own = components(good).withColumnRenamed("node", "rep")
+    near = near.join(own, "rep", "left").select("rep", "fp", F.coalesce("component", "rep").alias("own"))
+    found = components(good.union(verified(links(near, radius, keys, pick=apart), sets, similarity)))
+    named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component_id"))
+    gone = fps.join(named, "same").where("id <> component_id").select(F.col("id").alias("__gone")).distinct()
     return docs.join(gone, docs[key].cast("long") == F.col("__gone"), "left_anti")
