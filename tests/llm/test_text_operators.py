@@ -100,6 +100,25 @@ def test_recall_and_precision():
     assert not any(search.matches(clean))
 
 
+@pytest.mark.parametrize("n", [5, 10, 20, 37, 59, 100])
+def test_recall_at_the_bound(n):
+    """As many edits as verification accepts, at random places and evenly spread."""
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8)))
+    items = {i: " ".join(word() for _ in range(n)) for i in range(200)}
+    search, edits = decontam.Search(items), n // 5
+    for evenly in (False, True):
+        found = 0
+        for i, t in items.items():
+            places = range(2, n, 5) if evenly else rng.sample(range(n), edits)
+            words = t.split()
+            for k in sorted(list(places)[:edits], reverse=True):
+                words[k : k + 1] = rng.choice([["zzz"], [], [words[k], "yyy"]])
+            text = " ".join([word() for _ in range(30)] + words + [word() for _ in range(30)])
+            found += any(m[0] == i for m in search.matches([text])[0])
+        assert found >= 0.97 * len(items), evenly
+
+
 def test_verification_is_exact():
     rng = random.Random(6)
     search = decontam.Search({0: " ".join(f"w{i}" for i in range(20))})

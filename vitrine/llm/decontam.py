@@ -5,11 +5,12 @@ reads a window with a pointer that stays or advances by a random bit of (step, w
 at a small edit distance fall into step again after each edit, so the sequences that the walk
 reads have a small Hamming distance. LSH for that distance samples steps of the walk.
 
-For each class of item lengths (L, 2L) the windows have L words, at every word of every document.
-Each repetition draws its own bits and steps; even ones take an item's first L words, odd ones its
-last. A repetition's samples form a trie over the items; windows that leave it are given up at the
-sample where they do, so most cost a few steps. The number of repetitions follows from the target
-recall for items of which an EDITED share of words was changed.
+Items are cut into overlapping stretches of 2 to 8 words, by item length, and windows of as many words
+begin at every word of every document: among the stretches of an edited item some have few edits.
+Each repetition draws its own bits and steps. A repetition's samples form a trie over the stretches;
+windows that leave it are given up at the sample where they do, so most cost a few steps. The number
+of repetitions for an item follows from the target recall, its length and the edits that verification
+accepts.
 
 Windows that agree on all samples are verified exactly: the least edit distance, in words, of the
 item to any stretch of the document there, must be at most (1 - similarity) of the item's words.
@@ -31,16 +32,33 @@ from pyspark.sql import functions as F
 from vitrine.llm import common
 
 WORD = re.compile(r"[^\W_]+")
-SAMPLES, EDITED, RECALL = 4, 0.08, 0.98
+SAMPLES, RECALL, WINDOW = 4, 0.98, 8
 HASHED = 4096  # words share the walk's random bits in so many groups
 #: Bytes of items that are searched for in one pass; more items take more passes.
-PASS_BYTES = 16 << 20
+PASS_BYTES = 4 << 20
 
 
-def repetitions(samples: int = SAMPLES, edited: float = EDITED, recall: float = RECALL) -> int:
-    """Independent repetitions for the recall; an edit disturbs about three steps of a walk twice as long."""
-    agree = (1 - min(0.9, 2.5 * edited)) ** samples
-    return max(2, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
+def window(n: int, similarity: float) -> int:
+    """Words of a stretch of an item of n words: all of them if no edit is accepted, else a power of two, half of them at most."""
+    return n if int((1 - similarity) * n + 1e-9) == 0 and n <= WINDOW else max(1, min(WINDOW, 1 << (n // 2).bit_length() - 1))
+
+
+def stretches(n: int, length: int) -> list[int]:
+    """First words of an item's stretches: every half length, and the last one."""
+    return sorted({*range(0, n - length + 1, max(1, length // 2)), n - length})
+
+
+def repetitions(n: int, similarity: float, recall: float = RECALL) -> int:
+    """Independent repetitions for an item of n words with as many edits as are accepted, at random places.
+
+    An edit disturbs about three steps of a walk twice as long, so a stretch with few edits is found
+    more often, and one of the item's stretches is enough.
+    """
+    length = window(n, similarity)
+    edited = int((1 - similarity) * n + 1e-9) / n
+    stays = sum(math.comb(length, j) * edited**j * (1 - edited) ** (length - j) * max(0.1, 1 - 2.5 * j / length) ** SAMPLES for j in range(length + 1))
+    missed = (1 - stays) ** (n // length)
+    return 1 if missed < 1e-9 else max(2, math.ceil(math.log(1 - recall) / math.log(missed)))
 
 
 class Search:
@@ -58,32 +76,33 @@ class Search:
         classes = defaultdict(list)
         for i, words in self.words.items():
             if words:
-                classes[1 << len(words).bit_length() - 1].append(i)
+                classes[window(len(words), similarity)].append(i)
         self.plans = []
         for length, members in sorted(classes.items()):
-            for r in range(rounds or repetitions(samples)):
+            needed = {i: rounds or repetitions(len(self.words[i]), similarity) for i in members}
+            for r in range(max(needed.values())):
                 last = max(1, 2 * length)
-                first = min(r, last - 1)
+                first = r % max(1, length // 2)
                 rest = np.setdiff1d(np.arange(last), [first])
                 steps = [first, *np.sort(rng.choice(rest[rest > first], size=min(samples - 1, (rest > first).sum()), replace=False)).tolist()]
                 bits = rng.integers(0, 2, (last, HASHED), dtype=np.uint8)
-                self.plans.append(self.compiled(length, steps, bits, members, r % 2))
+                self.plans.append(self.compiled(length, steps, bits, [i for i in members if r < needed[i]]))
 
-    def compiled(self, length: int, steps: list[int], bits: np.ndarray, members: list[int], from_end: int) -> tuple:
+    def compiled(self, length: int, steps: list[int], bits: np.ndarray, members: list[int]) -> tuple:
         """(length, steps, bits, tries, leaves): tries[k] maps (state, word) to the next state."""
         tries: list[dict[tuple[int, int], int]] = [{} for _ in steps]
         leaves: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i in members:
-            words = self.words[i]
-            offset = len(words) - length if from_end else 0
-            ids = np.array([self.vocabulary[w] for w in words[offset : offset + length]] + [self.pad], dtype=np.int32)
-            position, step, state = 0, 0, 0
-            for k, s in enumerate(steps):
-                while step < s:
-                    position = min(length, position + int(bits[step, ids[position] & HASHED - 1])) if position < length else length
-                    step += 1
-                state = tries[k].setdefault((state, int(ids[position])), len(tries[k]))
-            leaves[state].append((i, offset))
+            numbers = [self.vocabulary[w] for w in self.words[i]]
+            for offset in stretches(len(numbers), length):
+                ids = [*numbers[offset : offset + length], self.pad]
+                position, step, state = 0, 0, 0
+                for k, s in enumerate(steps):
+                    while step < s:
+                        position += int(bits[step, ids[position] & HASHED - 1]) if position < length else 0
+                        step += 1
+                    state = tries[k].setdefault((state, ids[position]), len(tries[k]))
+                leaves[state].append((i, offset))
         packed = []
         for t in tries:
             keys = np.array([a * (self.pad + 1) + b for a, b in t], dtype=np.int64)
