@@ -151,6 +151,14 @@ def test_contaminated(spark, docs, no_docs):
     assert decontam.contaminated(no_docs, items).count() == 0 and decontam.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_items_with_equal_ids_or_none(spark, docs):
+    items = [(7, "the quick brown fox jumps over"), (7, "a line that many documents share"), (None, "other words here"), (None, "a null id with a line"), (7, "a line that many documents share")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.item_id or 0) for r in decontam.contaminated(docs, table).collect())
+    assert got == [(0, 0), (0, 7), (1, 7), (1, 7), (2, 7), (2, 7), (3, 0), (3, 7), (7, 7), (7, 7)]
+    assert sorted(r.doc_id for r in decontam.without_contaminated(docs, table).collect()) == [4, 5, 6, 8, 9, 9, 11]
+
+
 def test_planted_passages_by_brute_force(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}

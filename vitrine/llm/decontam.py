@@ -216,33 +216,38 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def searches(items: DataFrame, similarity: float, text: str = "text", key: str = "item_id") -> Iterator[Search]:
-    """Items in groups of about PASS_BYTES, each compiled; the driver holds one group at a time."""
-    rows = items.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & F.col("t").isNotNull())
+def searches(items: DataFrame, similarity: float, text: str = "text", key: str = "item_id") -> Iterator[tuple[Search, list[int | None]]]:
+    """Items in groups of about PASS_BYTES, each compiled, and the ids of its items, which it knows by number.
+
+    Each distinct (id, text) is an item. The driver holds one group at a time.
+    """
+    rows = items.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).distinct()
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     groups = max(1, -(-total // PASS_BYTES))
     for g in range(groups):
-        own = rows if groups == 1 else rows.where(F.pmod(F.xxhash64("k"), F.lit(groups)) == g)
-        yield Search({r.k: r.t for r in own.orderBy("k", "t").collect()}, similarity)
+        own = rows if groups == 1 else rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(groups)) == g)
+        found = own.orderBy("k", "t").collect()
+        yield Search({i: r.t for i, r in enumerate(found)}, similarity), [r.k for r in found]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """A row (key, item_id, begin, end, edits) for each benchmark passage found in each row of docs.
 
     begin and end are code points of the whole text; edits are words. Null and empty texts, and
-    items without words, match nothing. Items with equal ids: the last text counts. Repeated rows
-    are searched one by one. Only key and text are read. No shuffle; one pass for each group of items.
+    items without words, match nothing. Items with equal ids or none are searched for one by one, and
+    reported with the id they have. Repeated rows are searched one by one. Only key and text are read. No shuffle; one pass for each group of items.
     """
     spark, parts = docs.sparkSession, []
     kind = docs.schema[key].dataType.simpleString()
-    for search in searches(items, similarity):
-        held = spark.sparkContext.broadcast(search)
+    for search, names in searches(items, similarity):
+        held = spark.sparkContext.broadcast((search, names))
 
         def find(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            search, names = held.value
             for batch in batches:
                 for part in common.slices(batch, 1):
                     ids = part.column(0).to_pylist()
-                    rows = [(d, *m) for d, found in zip(ids, held.value.matches(part.column(1).to_pylist()), strict=True) for m in found]
+                    rows = [(d, names[i], *m) for d, found in zip(ids, search.matches(part.column(1).to_pylist()), strict=True) for i, *m in found]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (part.column(0).type, *[pa.int64()] * 4), strict=True)], names=[key, "item_id", "begin", "end", "edits"])
 
@@ -256,7 +261,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, tex
 def without_contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, in whose whole text no benchmark passage is found."""
     spark = docs.sparkSession
-    for search in searches(items, similarity):
+    for search, _ in searches(items, similarity):
         docs = docs.where(_clean(spark.sparkContext.broadcast(search))(F.col(text)))
     return docs
 
