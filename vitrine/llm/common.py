@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vitrine.sources.shared import shared_path, written
 
-__all__ = ["F", "crc_of_id", "shared_path", "ship", "slices", "smallest_hashes", "table", "written"]
+__all__ = ["F", "crc_of_id", "fresh", "shared_path", "ship", "slices", "smallest_hashes", "table", "written"]
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -47,6 +47,17 @@ def smallest_hashes(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.where(h <= min(int(share * 2**64) - 2**63, 2**63 - 1)).orderBy(h, key).limit(most)
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of docs has, whatever its case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20, most_rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of each part come to about most_bytes (one long text stays whole)."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()

@@ -8,8 +8,8 @@ Pass 2 hashes the lines of each document again and probes the arrays: the first
 gives shard and place, the fingerprint there tells members from strangers. No line is joined.
 
 The arrays hold frequent lines alone. Their size is known from a count before they are collected:
-up to INDEX_BYTES they are broadcast. Beyond it, lines' hashes meet the frequent keys by a shuffle
-instead, and only the hashes of lines to drop return to the documents.
+shards are taken in groups of at most INDEX_BYTES, and a group's arrays are broadcast. With more than
+one group, documents probe them in turn, and only marks of the lines to drop go along.
 """
 
 from __future__ import annotations
@@ -49,7 +49,11 @@ def halves(hashes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def frequent_lines(docs: DataFrame, least: int, documents: int, text: str, key: str) -> DataFrame:
-    """(h1, h2, n, last): keys in at least so many documents and the largest id that holds each."""
+    """(h1, h2, n, last): keys in at least so many documents and the largest id that holds each.
+
+    Documents are told apart by their ids: rows with equal ids are one, and rows without an id are one,
+    whose id counts as the smallest.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,7 +68,7 @@ def frequent_lines(docs: DataFrame, least: int, documents: int, text: str, key:
                     yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids, pa.int64())], names=["h1", "h2", "id"])
 
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text).alias("t")).mapInArrow(hashed, "h1 long, h2 long, id long")
-    return rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") >= documents)
+    return rows.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("last")).where(F.col("n") >= documents)
 
 
 class Index:
@@ -111,9 +115,8 @@ class Index:
         return out
 
 
-def index_of(frequent: DataFrame, count: int) -> Index:
-    """The arrays of all shards; frequent has at most INDEX_BYTES / KEY_BYTES rows, as counted."""
-    shards = max(1, -(-count // SHARD_KEYS))
+def index_of(frequent: DataFrame, shards: int, group: range) -> Index:
+    """The arrays of a group of shards; no more than that many bytes come to the driver."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [pa.Table.from_batches([b]) for b in batches]
@@ -129,26 +132,31 @@ def index_of(frequent: DataFrame, count: int) -> Index:
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pickle.dumps(Index.built(h1[at], h2[at], n[at], last[at]))], pa.binary())], names=["shard", "image"])
 
     own = F.pmod(F.shiftrightunsigned("h1", 32), F.lit(shards))
-    images = frequent.repartition(own).mapInArrow(build, "shard int, image binary")
+    images = frequent.where(own.between(group[0], group[-1])).repartition(own).mapInArrow(build, "shard int, image binary")
     return Index({r.shard: pickle.loads(r.image) for r in images.toLocalIterator()}, shards)
 
 
-def kept_lines(docs: DataFrame, least: int, documents: int, text: str, key: str) -> DataFrame:
-    """docs with three more columns: __kept (the text), __lines and __dropped."""
-    spark = docs.sparkSession
+def kept_lines(docs: DataFrame, least: int, documents: int, text: str, key: str) -> tuple[DataFrame, str]:
+    """docs with a struct column more, and its name: kept (the text), lines and dropped (their numbers).
+
+    Null and empty texts are one empty line; repeated rows are treated alike; an empty table stays empty.
+    """
     frequent = common.written(frequent_lines(docs, least, documents, text, key), "frequent-lines")
-    count = frequent.count()
-    shape = "kept string, lines long, dropped long"
+    marks, probed = common.fresh(docs, "marks", "probed")
     ids = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
-    if count * KEY_BYTES <= INDEX_BYTES:
-        held = spark.sparkContext.broadcast(index_of(frequent, count))
-        probe = _probing(lambda rows, h1, h2, who: held.value.dropped(h1, h2, who), least, shape)
-        return docs.withColumn("__probed", probe(F.col(text), ids))
-    # the way beyond the bound: hashes to drop, by document, from a shuffled join
-    gone = _gone(docs, frequent, least, text, key)
-    joined = docs.withColumn("__id", ids).join(gone, F.col("__id") == gone["__owner"], "left").drop("__id", "__owner")
-    drop = _dropping(least, shape)
-    return joined.withColumn("__probed", drop(F.col(text), F.col("__hashes"))).drop("__hashes")
+    shards = max(1, -(-frequent.count() // SHARD_KEYS))
+    step = max(1, INDEX_BYTES // (SHARD_KEYS * KEY_BYTES))
+    groups = [range(i, min(i + step, shards)) for i in range(0, shards, step)]
+    columns, earlier = docs.columns, F.lit(None).cast("binary")
+    for group in groups:
+        held = docs.sparkSession.sparkContext.broadcast(index_of(frequent, shards, group))
+        if group is groups[-1]:
+            probe = _probing(held, least, "kept string, lines long, dropped long")
+            return docs.select(*[F.col(f"`{c}`") for c in columns], probe(F.col(f"`{text}`"), ids, earlier).alias(probed)), probed
+        probe = _probing(held, least, "binary")
+        docs = common.written(docs.select(*[F.col(f"`{c}`") for c in columns], probe(F.col(f"`{text}`"), ids, earlier).alias(marks)), "line-marks")
+        earlier = F.col(marks)
+    raise AssertionError("there is a group at least")
 
 
 def _answer(texts: list, marks: list[list[bool]]) -> pa.StructArray:
@@ -163,18 +171,20 @@ def _answer(texts: list, marks: list[list[bool]]) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=["kept", "lines", "dropped"])
 
 
-def _probing(dropped, least: int, shape: str):
+def _probing(held, least: int, shape: str):
+    """An Arrow UDF (text, id, marks so far): marks of lines to drop, or the answer from them."""
+
     @F.arrow_udf(shape)
-    def probe(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, ids in batches:
+    def probe(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, ids, earlier in batches:
             texts, ids = texts.to_pylist(), ids.to_pylist()
             marks: list[list[bool]] = []
             flat: list[bytes] = []
             at: list[tuple[int, int]] = []
             who: list[int] = []
-            for i, text in enumerate(texts):
+            for i, (text, known) in enumerate(zip(texts, earlier.to_pylist(), strict=True)):
                 keys = keys_of(text, least)
-                marks.append([False] * len(keys))
+                marks.append([False] * len(keys) if known is None else [x == 1 for x in known])
                 for j, k in enumerate(keys):
                     if k is not None:
                         flat.append(k)
@@ -182,61 +192,31 @@ def _probing(dropped, least: int, shape: str):
                         who.append(ids[i])
             if flat:
                 h1, h2 = halves(flat)
-                for r in np.flatnonzero(dropped(None, h1, h2, np.array(who, dtype=np.int64))).tolist():
+                for r in np.flatnonzero(held.value.dropped(h1, h2, np.array(who, dtype=np.int64))).tolist():
                     marks[at[r][0]][at[r][1]] = True
-            yield _answer(texts, marks)
+            yield pa.array(map(bytes, marks), pa.binary()) if shape == "binary" else _answer(texts, marks)
 
     return probe
 
 
-def _gone(docs: DataFrame, frequent: DataFrame, least: int, text: str, key: str) -> DataFrame:
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = sorted(set(keys_of(body.as_py(), least)) - {None})
-                if own:
-                    h1, h2 = halves(own)
-                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(own), pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["id", "h1", "h2"])
-
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text).alias("t")).mapInArrow(hashed, "id long, h1 long, h2 long")
-    hits = rows.join(frequent, ["h1", "h2"]).where("id <> last")
-    return hits.groupBy(F.col("id").alias("__owner")).agg(F.collect_set(F.struct("h1", "h2")).alias("__hashes"))
-
-
-def _dropping(least: int, shape: str):
-    @F.arrow_udf(shape)
-    def drop(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, hashes in batches:
-            texts, marks = texts.to_pylist(), []
-            for text, own in zip(texts, hashes.to_pylist(), strict=True):
-                gone = {(x["h1"], x["h2"]) for x in own or []}
-                row = []
-                for k in keys_of(text, least):
-                    h = None if k is None else tuple(int(x.view(np.int64)[0]) for x in halves([k]))
-                    row.append(h in gone)
-                marks.append(row)
-            yield _answer(texts, marks)
-
-    return drop
-
-
 def line_report(docs: DataFrame, least: int = 20, documents: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_lines, n_dropped, kept_sha256) for each row of docs.
 
-    A null or empty text is one empty line. Each row counts as one document, repeated rows too;
-    rows that share the largest id all keep its lines, and a null id counts as the smallest. A
+    A null or empty text is one empty line. Rows with equal ids count as one document; they all
+    keep its lines if theirs is the largest id. Rows without an id are one document of the smallest. A
     document that loses all its lines keeps the empty text. Only key and text are read.
     """
-    rows = kept_lines(docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")), least, documents, "__t", "__k")
-    p = F.col("__probed")
-    return rows.select(F.col("__k").alias(key), p["lines"].alias("n_lines"), p["dropped"].alias("n_dropped"), F.sha2(p["kept"].cast("binary"), 256).alias("kept_sha256"))
+    rows, probed = kept_lines(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), least, documents, "t", "k")
+    p = F.col(probed)
+    return rows.select(F.col("k").alias(key), p["lines"].alias("n_lines"), p["dropped"].alias("n_dropped"), F.sha2(p["kept"].cast("binary"), 256).alias("kept_sha256"))
 
 
 def without_repeated_lines(docs: DataFrame, least: int = 20, documents: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs, all columns as they are, with texts that lost their repeated lines.
 
-    Texts that lose nothing stay as they are, null ones too.
+    Texts that lose nothing stay as they are, null ones too. Rows with equal ids or none are told
+    apart as in line_report().
     """
-    rows = kept_lines(docs, least, documents, text, key)
-    changed = F.when(F.col("__probed")["dropped"] > 0, F.col("__probed")["kept"]).otherwise(F.col(text))
+    rows, probed = kept_lines(docs, least, documents, text, key)
+    changed = F.when(F.col(probed)["dropped"] > 0, F.col(probed)["kept"]).otherwise(F.col(text))
     return rows.select(*[changed.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
