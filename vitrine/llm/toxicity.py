@@ -16,7 +16,10 @@ best segments. A document's segments are aggregated by their bits, lambda S - ln
 sum of the significant ones goes through a logistic curve fitted on the training documents.
 
 Training takes labelled documents whose crc32(id as text) mod 5 is not 0, of these the SAMPLE
-with the smallest hashes of their ids, so the model stays bounded. Scoring reads the text alone.
+with the smallest hashes of their ids. They are written once and read three times: executors count
+features (one shuffle by feature), then word scores and best segments, then evidence. The driver gets
+scores of significant features, at most MOST_FEATURES, and some numbers for each sampled document.
+Scoring reads the text alone.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
 #: Labelled documents that training reads at most.
 SAMPLE = 8_000
+#: Features that a model scores at most, the most telling ones; it bounds what is broadcast.
+MOST_FEATURES = 200_000
 #: Prior counts of a feature: so many, and this share of its count overall.
 PRIOR_LEAST, PRIOR_SHARE = 0.5, 0.01
 #: Standard errors taken off; the least log-odds left; what each word loses; the largest score.
@@ -132,21 +137,30 @@ class Model:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
 
 
-def log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Scores of the features that differ significantly, from counts of documents."""
-    every = toxic + clean
-    out = {}
-    for f, n in every.items():
-        if n < 3:
-            continue
-        prior = PRIOR_LEAST + PRIOR_SHARE * n
-        a, b = toxic[f] + prior, clean[f] + prior
-        rest_a, rest_b = n_toxic + 2 * prior - a, n_clean + 2 * prior - b
-        delta = math.log(a / max(rest_a, 0.5)) - math.log(b / max(rest_b, 0.5))
-        sure = abs(delta) - Z_LEAST * math.sqrt(1 / a + 1 / b)
-        if sure >= ODDS_LEAST:
-            out[f] = min(MOST_SCORE, sure) if delta > 0 else max(-1.0, -sure)
-    return out
+def feature_counts(rows: DataFrame) -> DataFrame:
+    """(f, toxic, clean): how many of the rows (t, y) of each label hold each feature."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, 0):
+                found: tuple[Counter, Counter] = Counter(), Counter()
+                for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    found[label].update({f for w in set(WORD.findall((text or "").lower())) for f in features(w)})
+                every = list(found[0] | found[1])
+                yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *[pa.array([found[y][f] for f in every], pa.int64()) for y in (1, 0)]], names=["f", "toxic", "clean"])
+
+    return rows.mapInArrow(count, "f string, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def log_odds(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
+    """(f, s): scores of the features (f, toxic, clean) that differ significantly, from counts of documents."""
+    n = F.col("toxic") + F.col("clean")
+    prior = F.lit(PRIOR_LEAST) + F.lit(PRIOR_SHARE) * n
+    rows = counts.where(n >= 3).select("f", prior.alias("p"), (F.col("toxic") + prior).alias("a"), (F.col("clean") + prior).alias("b"))
+    rest = lambda total, x: F.greatest(F.lit(total) + 2 * F.col("p") - F.col(x), F.lit(0.5))
+    rows = rows.withColumn("delta", F.ln("a") - F.ln(rest(n_toxic, "a")) - F.ln("b") + F.ln(rest(n_clean, "b")))
+    rows = rows.withColumn("sure", F.abs("delta") - Z_LEAST * F.sqrt(1 / F.col("a") + 1 / F.col("b"))).where(F.col("sure") >= ODDS_LEAST)
+    return rows.select("f", F.when(F.col("delta") > 0, F.least(F.col("sure"), F.lit(MOST_SCORE))).otherwise(F.greatest(-F.col("sure"), F.lit(-1.0))).alias("s"))
 
 
 def solve_lambda(values: np.ndarray, weights: np.ndarray) -> float:
@@ -185,64 +199,69 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float,
     return float(at[0] / scale), float(at[1])
 
 
-def fitted(rows: list[tuple[str | None, int]]) -> Model:
-    """A model from (text, label) rows; without both labels it scores everything low."""
-    toxic, clean, n = Counter(), Counter(), [0, 0]
-    for text, label in rows:
-        seen = {f for w in set(WORD.findall((text or "").lower())) for f in features(w)}
-        (toxic if label else clean).update(seen)
-        n[1 if label else 0] += 1
-        if len(clean) > 1_000_000:  # features met once or twice never score
-            clean = Counter({f: c for f, c in clean.items() if c > 1 or f in toxic})
-    model = Model(log_odds(toxic, clean, n[1], n[0]))
-    del toxic, clean
-    rate = max(1e-3, min(0.4, n[1] / max(1, sum(n))))
-    if not n[0] or not n[1] or not model.scores:
-        return Model({}, offset=math.log(rate / (1 - rate)))
-    each = Counter()
-    best = []
-    for text, label in rows:
-        if not label:
-            words = WORD.findall((text or "").lower())
-            each.update(map(model.word_score, words))
-            best.append((len(words), max((s for *_, s in model.passages(text)[1]), default=0.0)))
-    values = np.array(list(each), dtype=np.float64)
-    weights = np.array(list(each.values()), dtype=np.float64)
+def no_evidence(toxic: int = 0, clean: int = 0) -> Model:
+    """The model that scores everything alike, and low."""
+    rate = max(1e-3, min(0.4, toxic / max(1, toxic + clean)))
+    return Model({}, offset=math.log(rate / (1 - rate)))
+
+
+def calibrated(rows: DataFrame, model: Model) -> None:
+    """Sets the extreme-value law and the logistic curve of a model with scores, from the rows (t, y) of both labels."""
+    context = rows.sparkSession.sparkContext
+    held = context.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each, best = Counter(), Counter()
+            for text in batch.column(0):
+                words = WORD.findall((text.as_py() or "").lower())
+                each.update(map(held.value.word_score, words))
+                best[max((s for *_, s in held.value.passages(text.as_py())[1]), default=0.0), len(words)] += 1
+            found = [(-1, s, n) for s, n in each.items()] + [(m, s, n) for (s, m), n in best.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.int64()))], names=["words", "x", "n"])
+
+    # one row for each word score (words -1), and for each length and best segment of a text
+    got = rows.where("y = 0").select("t").mapInArrow(measure, "words long, x double, n long").groupBy("words", "x").agg(F.sum("n").alias("n")).collect()
+    values, weights = (np.array([r[k] for r in got if r.words < 0], dtype=np.float64) for k in ("x", "n"))
     model.lambda_ = solve_lambda(values, weights / max(1.0, weights.sum()))
     # P(no segment above x) = exp(-K n e^(-lambda x)): the K that makes the clean texts' best segments likeliest
-    spread = sum(m * math.exp(-model.lambda_ * s) for m, s in best)
-    model.k = max(1e-6, min(1.0, len(best) / max(spread, 1e-9)))
-    x = np.array([model.evidence(t) for t, _ in rows])
-    y = np.array([float(bool(v)) for _, v in rows])
-    model.slope, model.offset = logistic(x, y)
-    return model
+    spread = sum(r["n"] * r.words * math.exp(-model.lambda_ * r.x) for r in got if r.words >= 0)
+    model.k = max(1e-6, min(1.0, sum(r["n"] for r in got if r.words >= 0) / max(spread, 1e-9)))
+    held = context.broadcast(model)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([held.value.evidence(t.as_py()) for t in batch.column(0)], pa.float64())], names=["y", "x"])
+
+    found = sorted(rows.select("t", "y").mapInArrow(weigh, "y int, x double").collect())
+    model.slope, model.offset = logistic(np.array([r.x for r in found]), np.array([float(r.y) for r in found]))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
     """A model from the labelled documents outside the held-out fifth, at most sample of them.
 
     The sample is chosen by a hash of the id, so it is the same wherever it is computed. Null
-    labels and ids are left out. One executor task fits the model; the driver gets the scores.
+    labels and ids are left out. Of several labels of an id the largest counts; rows of docs that
+    share an id are read each. Null and empty texts have no features. Without documents of both
+    labels, or features that tell them apart, all texts score alike and low.
     """
     chosen = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where(F.col("k").isNotNull() & F.col("y").isNotNull() & (common.crc_of_id("k") % 5 != 0)).groupBy("k").agg(F.max("y").alias("y"))
     chosen = common.smallest_hashes(chosen, "k", sample)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").select(F.col("t"), F.col("y").cast("int").alias("y"))
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        m = fitted(got)
-        names = [*m.scores, "\tlambda", "\tk", "\tslope", "\toffset"]
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([*m.scores.values(), m.lambda_, m.k, m.slope, m.offset], pa.float64())], names=["f", "s"])
-
-    got = {r.f: r.s for r in rows.repartition(1).mapInArrow(fit, "f string, s double").collect()}
-    if not got:  # no labelled document at all
-        return fitted([])
-    rest = {k: got.pop("\t" + k) for k in ("lambda", "k", "slope", "offset")}
-    return Model(got, rest["lambda"], rest["k"], rest["slope"], rest["offset"])
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").select(F.col("t"), (F.col("y") != 0).cast("int").alias("y"))
+    rows = common.written(rows, "toxicity-sample")
+    n = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    if len(n) < 2:
+        return no_evidence(n.get(1, 0), n.get(0, 0))
+    best = log_odds(feature_counts(rows), n[1], n[0]).orderBy(F.desc(F.abs("s")), "f").limit(MOST_FEATURES)
+    model = Model({r.f: r.s for r in best.collect()})
+    if not model.scores:
+        return no_evidence(n[1], n[0])
+    calibrated(rows, model)
+    return model
 
 
 def scorer(docs: DataFrame, model: Model):
-    """An Arrow UDF text -> score. The model is a few thousand numbers at most, so it is broadcast."""
+    """An Arrow UDF text -> score. The model has MOST_FEATURES numbers at most, so it is broadcast."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
@@ -266,5 +285,9 @@ def scored(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id
 
 
 def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose whole text scores under 0.5."""
+    """The rows of docs, all columns as they are, whose whole text scores under 0.5.
+
+    Null and empty texts score as one without evidence. Repeated rows stay or go alike. An empty table
+    stays empty. Texts of any length are read whole, one at a time.
+    """
     return docs.where(scorer(docs, model)(F.col(text)) < 0.5)
