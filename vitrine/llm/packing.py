@@ -1,15 +1,18 @@
 """Packing token sequences by the sum-of-squares rule.
 
-Each document (its ids and an end id) is cut into full sequences and one remainder. Remainders
-go, online, to open sequences: among the fill levels that have room, and a new sequence, the one
-that minimises the sum over levels of (number of open sequences at that level) squared. The
-counts are kept in an array by level. Levels that repeat are thereby filled first, and sizes
-that complement each other meet.
-
-Each input partition packs its own documents, so nothing is shuffled and no key can be hot.
-When a partition ends, its open sequences are closed without padding: pieces of the emptiest are
-cut to fill the fullest, and what is left of the last one becomes sequences whose lengths are
-powers of two.
+Each document (its ids and an end id) is cut into full sequences and one remainder. Remainders go,
+online, to open sequences. A remainder of r ids moves a sequence of fill level h to the level h + r;
+beyond the capacity it is cut, fills the sequence, and its rest opens another at h + r less the
+capacity, so the move is one between levels either way. Of the levels that are there, and a new
+sequence, the rule takes the one that minimises the sum over levels of (number of open sequences
+at that level) squared; of equal ones first a move without a cut, then the fullest. The counts are
+kept in an array by level.
+
+At most OPEN sequences are open: with as many, none is begun anew, which cutting always allows. So a
+worker holds OPEN * capacity ids beside its batch. Each input partition packs its own documents, so
+nothing is shuffled and no key can be hot. When a partition ends, the emptiest open sequence is
+undone and its pieces are placed by the same rule, again and again; what is left of the last one
+becomes sequences whose lengths are powers of two. Nothing is padded.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame
 from vitrine.llm import common
 from vitrine.llm.wordids import word_ids
 
+OPEN = 64
 SEQUENCE_BITS = 32  # of a sequence id; the partition's number stands above them
 
 
@@ -45,9 +49,9 @@ class Piece:
 class Packer:
     """Sum-of-squares packing of one partition; closed sequences are taken from .closed."""
 
-    def __init__(self, capacity: int):
-        self.capacity = capacity
-        self.levels = np.zeros(2 * capacity + 1, dtype=np.int64)  # open sequences at each fill level
+    def __init__(self, capacity: int, most_open: int = OPEN):
+        self.capacity, self.most_open, self.count = capacity, most_open, 0
+        self.levels = np.zeros(capacity + 1, dtype=np.int64)  # open sequences at each fill level
         self.open: dict[int, list[list[Piece]]] = defaultdict(list)
         self.closed: list[list[Piece]] = []
 
@@ -56,52 +60,52 @@ class Packer:
         for start in range(0, n - n % c, c):
             self.closed.append([Piece(doc, start, ids[4 * start : 4 * (start + c)], n)])
         if n % c:
-            self.place(Piece(doc, n - n % c, ids[4 * (n - n % c) :], n))
-
-    def place(self, piece: Piece) -> None:
-        size, c, levels = len(piece), self.capacity, self.levels
-        room = levels[1 : c - size + 1]
-        here = np.flatnonzero(room) + 1
-        best, least = 0, 2 * levels[size] + 1
-        if len(here):
-            change = 2 * (levels[here + size] - levels[here]) + 2
-            if here[-1] + size == c:
-                change[-1] = 1 - 2 * levels[here[-1]]  # a full sequence is no level any more
-            k = len(change) - 1 - int(change[::-1].argmin())  # ties: the fullest
-            if change[k] <= least:
-                best = int(here[k])
-        sequence = self.open[best].pop() if best else []
+            self.place(Piece(doc, n - n % c, ids[4 * (n - n % c) :], n), self.count < self.most_open)
+
+    def choose(self, size: int, new: bool) -> int:
+        """The level that size ids, under the capacity, are added to; 0: a new sequence."""
+        c, levels = self.capacity, self.levels
+        here = np.flatnonzero(levels[:c])
+        if not len(here):
+            return 0
+        to = here + size
+        change = 2 * (levels[to % c] - levels[here]) + 2
+        change[to == c] -= 2 * levels[0] + 1  # a full sequence is no level any more
+        cost = (2 * change + (to > c)) * c - here
+        k = int(cost.argmin())
+        return 0 if new and 2 * levels[size] + 1 < change[k] else int(here[k])
+
+    def place(self, piece: Piece, new: bool) -> None:
+        level, c = self.choose(len(piece), new), self.capacity
+        sequence: list[Piece] = []
+        if level:
+            sequence = self.open[level].pop()
+            self.levels[level] -= 1
+            self.count -= 1
+        rest = None
+        if level + len(piece) > c:
+            piece, rest = piece.cut(c - level)
         sequence.append(piece)
-        if best:
-            levels[best] -= 1
-        if best + size == c:
+        level += len(piece)
+        if level == c:
             self.closed.append(sequence)
-        else:
-            self.open[best + size].append(sequence)
-            levels[best + size] += 1
+            sequence, level = ([rest], len(rest)) if rest else ([], 0)
+        if sequence:
+            self.open[level].append(sequence)
+            self.levels[level] += 1
+            self.count += 1
 
     def finish(self) -> None:
-        left = [(level, s) for level in sorted(self.open, reverse=True) for s in self.open[level]]
-        self.open.clear()
-        self.levels[:] = 0
-        i, j = 0, len(left) - 1
-        fills = [x for x, _ in left]
-        while i < j:
-            full, empty = left[i][1], left[j][1]
-            piece, room = empty.pop(), self.capacity - fills[i]
-            if len(piece) > room:
-                piece, rest = piece.cut(room)
-                empty.append(rest)
-            full.append(piece)
-            fills[i] += len(piece)
-            fills[j] -= len(piece)
-            if fills[i] == self.capacity:
-                self.closed.append(full)
-                i += 1
-            if not fills[j]:
-                j -= 1
-        if i == j:
-            self.closed += powers_of_two(left[i][1])
+        while self.count:
+            level = int(np.flatnonzero(self.levels)[0])
+            sequence = self.open[level].pop()
+            self.levels[level] -= 1
+            self.count -= 1
+            if self.count:
+                for piece in sequence:
+                    self.place(piece, not self.count)
+            else:
+                self.closed += powers_of_two(sequence)
 
 
 def powers_of_two(sequence: list[Piece]) -> list[list[Piece]]:
@@ -128,7 +132,8 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     Null and empty texts are the end id alone. Repeated rows and equal or null keys are packed as
     documents of their own. A text of any length is cut into full sequences. An empty table gives
     no rows. Only key and text are read, so other columns cannot clash. Sequence ids are unique but
-    not dense: the partition's number stands in the upper bits.
+    not dense: the partition's number stands in the upper bits. Open sequences are held in memory, at
+    most OPEN of a worker.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
     fields = [(key, None), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -151,10 +156,11 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
 
         for batch in batches:
             kind = batch.column(0).type
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packer.add(doc, words.ids(body.as_py()) + end)
-                if len(packer.closed) >= 2000:
-                    yield rows()
+            for part in common.slices(batch, 1):
+                for doc, ids in zip(part.column(0).to_pylist(), words.each(part.column(1).to_pylist()), strict=True):
+                    packer.add(doc, ids.tobytes() + end)
+                    if len(packer.closed) >= 2000:
+                        yield rows()
         packer.finish()
         if packer.closed:
             yield rows()
