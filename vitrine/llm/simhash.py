@@ -16,9 +16,12 @@ is compared in a place of its own, so no link is lost and no task gets an unboun
 Equal fingerprints are one row from the start, so copies cost nothing.
 
 Where a Jaccard bound is asked for, fingerprints only find candidates, in a radius that leaves room
-for their error. A link counts if the shingle sets themselves reach the bound. Two rounds verify all
-candidates that matter: the first one tries a few for each text; the second one tries every candidate
-pair whose ends are not yet in one component.
+for their error, and whose sets are not too unlike in size. A link counts if the shingle sets
+themselves reach the bound. Rounds verify all candidates that matter: in the first ones each text tries
+its nearest few, then the nearest few outside its component, which join most of what belongs together;
+the last one tries every candidate pair whose ends are not yet in one component. There texts carry 16
+bits of each shingle's hash, which bound what two sets share from above, so that groups of texts just
+below the similarity are told apart within a bucket and only pairs that pass the bound leave it.
 """
 
 from __future__ import annotations
@@ -29,15 +32,19 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.llm import common
 from vitrine.operators.graph import components
 
 BUCKET = 1024
+#: Bands of candidates have so many bits at least; beyond, buckets hold 2^BUCKET_BITS fingerprints of unlike texts.
+LEAST_WIDTH, BUCKET_BITS = 13, 5
 #: Buckets above BUCKET whose keys may be broadcast; with more of them the join shuffles.
 BROADCAST_KEYS = 200_000
+#: Nearest candidates that each text tries in a round but the last.
+TRIES = 3
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -197,43 +204,87 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def connecting(ids: np.ndarray, cells: np.ndarray, own: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links to the first row that close pairs lead to."""
-    label = spanning(len(ids), a, b)
-    moved = label != np.arange(len(ids))
-    return ids[moved], ids[label[moved]]
+def connecting(t: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Links to the first row that close pairs lead to. t: the columns of the rows, a and b the pairs' places."""
+    label = spanning(len(t["rep"]), a, b)
+    moved = label != np.arange(len(label))
+    return t["rep"][moved], t["rep"][label[moved]], np.zeros(moved.sum(), dtype=np.int64)
 
 
-def _ordered(ids: np.ndarray, order: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, second, rank of each row): pairs with the row of smaller rank first; ids rank by hash, in the given order."""
-    rank = _mixed(ids.view(np.uint64) ^ order.astype(np.uint64) << np.uint64(60), 1)
-    swap = rank[a] > rank[b]
-    return np.where(swap, b, a), np.where(swap, a, b), rank
+def possible(t: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that can reach the similarity by their sets' sizes and whose components differ, and their distances."""
+    low, high = np.minimum(t["size"][a], t["size"][b]), np.maximum(t["size"][a], t["size"][b])
+    good = (low >= similarity * high - 1e-9) & (t["own"][a] != t["own"][b])
+    a, b = a[good], b[good]
+    return a, b, np.bitwise_count(t["fp"][a] ^ t["fp"][b]).sum(axis=1, dtype=np.int64)
 
 
-def tried(ids: np.ndarray, cells: np.ndarray, own: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of a cell one close pair, with the row that comes first; cells share four orders of all rows."""
-    first, second, rank = _ordered(ids, cells & 3, a, b)
-    order = np.lexsort((rank[first], second))
-    first, second = first[order], second[order]
-    new = np.r_[True, second[1:] != second[:-1]][: len(second)]
-    return ids[first[new]], ids[second[new]]
+def nearest(similarity: float):
+    """For each row of a cell its nearest partner among the possible ones."""
 
+    def pick(t: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+        a, b, far = possible(t, a, b, similarity)
+        row, other, far = np.r_[a, b], np.r_[b, a], np.r_[far, far]
+        order = np.lexsort((_mixed(t["rep"].view(np.uint64), 1)[other], far, row))  # ties: the same rows, wherever they meet
+        first = order[np.r_[True, np.diff(row[order]) != 0][: len(order)]]
+        return t["rep"][row[first]], t["rep"][other[first]], far[first]
 
-def apart(ids: np.ndarray, cells: np.ndarray, own: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All close pairs of rows whose own components differ."""
-    first, second, _ = _ordered(ids, np.zeros(len(ids)), a, b)
-    new = own[first] != own[second]
-    return ids[first[new]], ids[second[new]]
+    return pick
+
+
+def partnered(similarity: float):
+    """The rows that have a possible partner, each linked to itself."""
+
+    def pick(t: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+        a, b, _ = possible(t, a, b, similarity)
+        rows = t["rep"][np.unique(np.r_[a, b])]
+        return rows, rows, np.zeros(len(rows), dtype=np.int64)
+
+    return pick
+
+
+def bounded(similarity: float):
+    """All possible pairs whose sets can share enough, by the 16 bits of their hashes."""
+
+    def pick(t: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+        a, b, far = possible(t, a, b, similarity)
+        order = np.argsort(a, kind="stable")
+        a, b, far = a[order], b[order], far[order]
+        good, held = np.zeros(len(a), dtype=bool), np.zeros(1 << 16, dtype=bool)
+        parts = [np.frombuffer(x, dtype="<u2") for x in t["sketch"]]
+        for at in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1):
+            for k in range(0, len(at), 1024):
+                some = at[k : k + 1024]
+                if not len(some):
+                    continue
+                held[parts[a[some[0]]]] = True
+                others = [parts[x] for x in b[some].tolist()]
+                sizes = np.array([len(x) for x in others])
+                marks = np.append(0, np.cumsum(held[np.concatenate(others)]))
+                ends = np.cumsum(sizes)
+                both = np.minimum(marks[ends] - marks[ends - sizes], t["size"][a[some]])
+                good[some] = both * (1 + similarity) >= similarity * (t["size"][a[some]] + t["size"][b[some]]) - 1e-6
+                held[parts[a[some[0]]]] = False
+        a, b, far = a[good], b[good], far[good]
+        return t["rep"][a], t["rep"][b], far
+
+    return pick
+
+
+def few(pairs: DataFrame, most: int) -> DataFrame:
+    """(a, b): of each a's pairs (a, b, far) the nearest, each pair once."""
+    order = Window.partitionBy("a").orderBy("far", F.xxhash64("b"), "b")
+    best = pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def links(reps: DataFrame, radius: int, keys: list[np.ndarray], bucket: int = BUCKET, pick=connecting) -> DataFrame:
-    """Links (a, b) between close fingerprints of reps (rep long, fp binary, perhaps own long), as picked in each cell.
+    """Links (a, b, far) between close fingerprints of reps (rep long, fp binary, perhaps own and size long and sketch binary), as picked in each cell.
 
     By default they connect whatever fingerprints are linked.
     """
-    also = [c for c in ("own",) if c in reps.columns]
-    more = "".join(f", {c} long" for c in also)
+    also = {c: t for c, t in (("own", "long"), ("size", "long"), ("sketch", "binary")) if c in reps.columns}
+    more = "".join(f", {c} {t}" for c, t in also.items())
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,12 +314,13 @@ def links(reps: DataFrame, radius: int, keys: list[np.ndarray], bucket: int = BU
             keep = again | np.r_[again[1:], False]  # cells of one fingerprint have nothing to compare
             if not keep.any():
                 return
-            ids = t.column(1).to_numpy()[keep]
             body = t.column(2).filter(pa.array(keep)).to_pylist()
-            fps = np.frombuffer(b"".join(body), dtype=np.uint8).reshape(len(ids), -1)
+            fps = np.frombuffer(b"".join(body), dtype=np.uint8).reshape(len(body), -1)
             a, b = close_pairs(cells[keep], fps, radius)
-            own = t.column(3).to_numpy()[keep] if also else ids
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pick(ids, cells[keep], own, a, b)], names=["a", "b"])
+            columns = {c: t.column(c).to_numpy()[keep] for c in ("rep", *also) if c != "sketch"}
+            if "sketch" in also:
+                columns["sketch"] = t.column("sketch").filter(pa.array(keep)).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pick(columns | {"fp": fps}, a, b)], names=["a", "b", "far"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -283,7 +335,7 @@ def links(reps: DataFrame, radius: int, keys: list[np.ndarray], bucket: int = BU
         if held is not None:
             yield from found(held)
 
-    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long").distinct()
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long, far long").distinct()
 
 
 def classes(fps: DataFrame, radius: int, keys: list[np.ndarray]) -> DataFrame:
@@ -318,6 +370,19 @@ def similar(bits: int, similarity: float) -> int:
     return int(round(bits * differ + 3 * (bits * differ * (1 - differ)) ** 0.5))
 
 
+def banding(n: int, similarity: float, recall: float, least: int = LEAST_WIDTH) -> tuple[int, int]:
+    """(width, count) of bands for n fingerprints: buckets stay of one size on average, whatever n is.
+
+    Two bits agree as often as the angle of sets of that similarity leaves them, so a band of width
+    bits does with the width's power of that, and as many bands as the recall takes are drawn. Copies
+    of a fingerprint grow with n to the power of log(agree) / log(1/2), 0.24 at 0.8.
+    """
+    agree = 1 - float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+    width = max(least, n.bit_length() - BUCKET_BITS)
+    alone = agree**width
+    return width, 1 if alone > 1 - 1e-9 else int(np.ceil(np.log(1 - recall) / np.log1p(-alone)))
+
+
 def drawn(bits: int, width: int, count: int) -> list[np.ndarray]:
     """count sets of bit positions: bands of as many permutations as it takes, always the same."""
     rng, found = np.random.default_rng(20240), []
@@ -346,22 +411,24 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(each, "a long, b long")
 
 
-def one_of_each(docs: DataFrame, similarity: float = 0.8, size: int = 5, words: int = 5, width: int = 13, count: int = 48, text: str = "text", key: str = "doc_id") -> DataFrame:
+def one_of_each(docs: DataFrame, similarity: float = 0.8, size: int = 5, words: int = 5, recall: float = 0.997, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs, all columns as they are, with the row of smallest key from each group of near-duplicates.
 
     Rows are linked if their sets of size-word shingles (by 64-bit hashes) have that Jaccard similarity
-    or more. Candidates differ in few of 64 * words fingerprint bits and agree on one of count sets of
-    width bits; with the defaults 99 in 100 pairs of similarity 0.8 are. Texts without words
-    are one group. Rows that share a key share their fate; rows with null keys stay.
+    or more. Candidates differ in few of 64 * words fingerprint bits and agree on one of some sets of
+    bits, of which there are as many as the recall at that similarity takes (radius and bands together:
+    99 in 100 pairs of 0.8). Null and empty texts and those without words are one group. Rows that share
+    a key share their fate; rows with null keys stay. Texts of any length are read whole; an empty table
+    stays empty.
     """
     bits = 64 * words
-    radius, keys = similar(bits, similarity), drawn(bits, width, count)
+    radius = similar(bits, similarity)
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t.as_py(), size) for t in batch.column(1)]
             same = [xxhash.xxh64_intdigest(x.tobytes()) - 2**63 for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([majority(x, words) for x in found], pa.binary()), pa.array(same, pa.int64())], names=["id", "fp", "same"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([majority(x, words) for x in found], pa.binary()), pa.array(same, pa.int64()), pa.array([len(x) for x in found], pa.int64())], names=["id", "fp", "same", "size"])
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -370,18 +437,35 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, size: int = 5, words:
                 same = [xxhash.xxh64_intdigest(x) - 2**63 for x in found]
                 yield pa.RecordBatch.from_arrays([pa.array(same, pa.int64()), pa.array(found, pa.binary())], names=["same", "held"])
 
-    fps = common.written(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(marked, "id long, fp binary, same long"), "doc-fingerprints")
-    reps = common.written(fps.groupBy("same").agg(F.min("id").alias("rep"), F.min("fp").alias("fp")), "fingerprints")
-    nodes = reps.where(F.col("rep").isNotNull())
-    first = common.written(links(nodes, radius, keys, pick=tried), "candidates")
-    ends = first.select(F.col("a").alias("rep")).union(first.select("b")).distinct()
-    near = common.written(nodes.join(ends, "rep", "left_semi"), "near")
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.frombuffer(x, dtype="<u8").astype("<u2").tobytes() for x in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(parts, pa.binary())], names=["rep", "fp", "own", "size", "sketch"])
+
+    fps = common.written(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(marked, "id long, fp binary, same long, size long"), "doc-fingerprints")
+    reps = common.written(fps.groupBy("same").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), F.min("size").alias("size")), "fingerprints")
+    nodes = reps.where(F.col("rep").isNotNull()).withColumn("own", F.col("rep"))
+    keys = drawn(bits, *banding(nodes.count(), similarity, recall))
+    pairs = common.written(links(nodes, radius, keys, pick=nearest(similarity)), "candidates")
+    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    near = common.written(nodes.drop("own").join(ends, "rep", "left_semi"), "near")
     sets = docs.select(F.col(text).alias("t")).mapInArrow(held, "same long, held binary").groupBy("same").agg(F.first("held").alias("held"))
     sets = common.written(sets.join(near.select("same", "rep"), "same").select("rep", "held"), "shingle-sets")
-    good = common.written(verified(first, sets, similarity), "links")
-    own = components(good).withColumnRenamed("node", "rep")
-    near = near.join(own, "rep", "left").select("rep", "fp", F.coalesce("component", "rep").alias("own"))
-    found = components(good.union(verified(links(near, radius, keys, pick=apart), sets, similarity)))
+    good = common.written(verified(few(pairs, TRIES), sets, similarity), "links")
+
+    def outside(good: DataFrame) -> DataFrame:
+        own = components(good).withColumnRenamed("node", "rep")
+        return common.written(near.join(own, "rep", "left").select("rep", "fp", F.coalesce("component", "rep").alias("own"), "size"), "near")
+
+    again = few(links(outside(good), radius, keys, pick=nearest(similarity)), TRIES)
+    good = common.written(good.union(verified(again, sets, similarity)), "links")
+    now = outside(good)
+    open_ = links(now, radius, keys, pick=partnered(similarity)).select(F.col("a").alias("rep")).distinct()
+    now = common.written(now.join(open_, "rep", "left_semi").join(sets, "rep").select("rep", "fp", "own", "size", "held").mapInArrow(sketched, "rep long, fp binary, own long, size long, sketch binary"), "open")
+    rest = links(now, radius, keys, pick=bounded(similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    good = good.union(verified(rest, sets, similarity))
+    found = components(good)
     named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component_id"))
-    gone = fps.join(named, "same").where("id <> component_id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[key].cast("long") == F.col("__gone"), "left_anti")
+    (lost,) = common.fresh(docs, "lost")
+    gone = fps.join(named, "same").where("id <> component_id").select(F.col("id").alias(lost)).distinct()
+    return docs.join(gone, docs[key].cast("long") == gone[lost], "left_anti")
