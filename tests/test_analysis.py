@@ -106,6 +106,15 @@ def test_analyzed_and_limit(spark):
     assert sorted(done) == [1, 4, 5]
     stopped = analysis.with_limit(media, 5, run, stop_after=2, batch=4)
     assert sorted(r.media_id for p in stopped for r in p.collect()) == [1, 2, 3]
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(Stub):
+        def analyze(self, frames, prompt):
+            calls.add(1)
+            return "x"
+
+    kept = analysis.with_limit(media, 6, lambda m: analysis.analyzed(m, lambda: Counted([]), "p"), batch=2)
+    assert sum(len(p.collect()) for p in kept) == 6 and calls.value == 6
 
 
 def test_frames_levels_prompt(spark):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import scalar as S
 from vitrine.schema import ANALYSIS
+from vitrine.sources.shared import written
 
 EMPTY, BROKEN = "empty_response", "parse_error"
 
@@ -180,7 +181,8 @@ def analyzed(media: DataFrame, make: Callable[[], Provider], prompt: str, retry:
 def with_limit(media: DataFrame, most: int, analyse: Callable[[DataFrame], DataFrame], stop_after: int = 3, batch: int = 50) -> list[DataFrame]:
     """Results of batches of media by id, until `most` succeeded or stop_after failed in a row.
 
-    The driver holds one batch's outcomes at a time.
+    Each batch's answers are written before they are counted, so no model is asked twice. The driver
+    holds one batch's outcomes at a time.
     """
     done, fails, last, out = 0, 0, -(1 << 62), []
     while done < most and fails < stop_after:
@@ -188,7 +190,7 @@ def with_limit(media: DataFrame, most: int, analyse: Callable[[DataFrame], DataF
         if not ids:
             break
         last = ids[-1]
-        got = analyse(media.where(F.col("id").isin(ids)))
+        got = written(analyse(media.where(F.col("id").isin(ids))), "answers")
         outcomes = {r.media_id: r.error for r in got.select("media_id", "error").collect()}
         kept = []
         for i in ids:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset a session on this machine alone gets one
+    of its own, as in tests; on a cluster it is an error, since executors share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.gettempdir()}/vitrine-shared-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
