@@ -161,6 +161,11 @@ def resolved_names(names: DataFrame, counts: DataFrame) -> DataFrame:
     return hits.groupBy("name").agg(F.min_by("tag_id", "rank").alias("tag_id"))
 
 
+def shown_tag(counts: DataFrame, shown: str) -> DataFrame:
+    """The first tag in list order whose name or label is what a card shows; no row if none is."""
+    return in_list_order(counts.where((F.col("name") == shown) | (F.col("name_ja") == shown))).limit(1)
+
+
 def localized(keys: DataFrame, strings: DataFrame, language: str, fallback: str = "ja") -> DataFrame:
     """(key, text) for keys (key, default): this language's string, else the fallback's, the default, the key."""
     own = strings.where(F.col("lang") == language).select("key", F.col("text").alias("own"))

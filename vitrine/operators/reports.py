@@ -43,13 +43,17 @@ def raw_samples(rows: DataFrame, most: int = 3) -> DataFrame:
 def agreement(rows: DataFrame) -> DataFrame:
     """By condition: mean Jaccard similarity of the tag sets of repeats of an image, and the vocabulary.
 
-    Sets are matched by sizes and common tags, so repeats are paired within an image alone.
+    Repeats with equal sets are one row with their number, and rows of an image are compared, so the
+    work grows with different sets and not with repeats. Repeats that fail to parse take no part; a
+    condition without two repeats of an image has no mean.
     """
-    ok = rows.where("parse_ok").select("cond", "image", "rep", F.array_distinct("tags").alias("tags"))
-    both = ok.alias("a").join(ok.alias("b"), ["cond", "image"]).where("a.rep < b.rep")
+    ok = rows.where("parse_ok").select("cond", "image", F.array_sort(F.array_distinct("tags")).alias("tags"))
+    sets = ok.groupBy("cond", "image", "tags").agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.concat_ws("\x1f", "tags"))
+    both = sets.alias("a").join(sets.alias("b"), ["cond", "image"]).where("a.key <= b.key AND (a.key < b.key OR a.n > 1)")
     union = F.size(F.array_union("a.tags", "b.tags"))
     score = F.when(union > 0, F.size(F.array_intersect("a.tags", "b.tags")) / union).otherwise(1.0)
-    mean = both.groupBy("cond").agg(F.round(F.avg(score), 6).alias("mean_jaccard"))
+    pairs = F.when(F.col("a.key") == F.col("b.key"), F.col("a.n") * (F.col("a.n") - 1) / 2).otherwise(F.col("a.n") * F.col("b.n"))
+    mean = both.select("cond", score.alias("score"), pairs.alias("pairs")).groupBy("cond").agg(F.round(F.sum(F.col("score") * F.col("pairs")) / F.sum("pairs"), 6).alias("mean_jaccard"))
     words = ok.select("cond", F.explode("tags").alias("t")).groupBy("cond").agg(F.countDistinct("t").alias("vocabulary"))
     return words.join(mean, "cond", "left")
 

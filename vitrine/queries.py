@@ -17,7 +17,7 @@ from vitrine.plans import derived, search
 from vitrine.plans.sql_catalog import CATALOG
 from vitrine.sources import json_files, settings
 from vitrine.sources.shared import written
-from vitrine.schema import SETTINGS, empty, seeded_settings
+from vitrine.schema import SETTINGS, empty, migrated_tags, seeded_settings, seeded_tags
 from vitrine.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -526,10 +526,16 @@ def prompt_failures(spark, d):
 
 
 @query("prompt_vocabulary", """
-WITH t AS (SELECT event_type AS cond, unnest(range(0, event_id % 6)) AS k, event_id AS i FROM events WHERE event_id % 7 <> 0)
-SELECT cond, count(DISTINCT (i * 7 + k * k) % 11) AS vocabulary FROM t GROUP BY cond""", with_catalog=False)
+WITH t AS (SELECT event_type AS cond, unnest(range(0, event_id % 6)) AS k, event_id AS i FROM events WHERE event_id % 7 <> 0),
+s AS (SELECT event_type AS cond, event_id % 40 AS image, list_sort(list_distinct(list_transform(range(0, event_id % 6), lambda k: (event_id * 7 + k * k) % 11))) AS tags FROM events WHERE event_id % 7 <> 0),
+g AS (SELECT cond, image, tags, count(*) AS n FROM s GROUP BY ALL),
+p AS (SELECT a.cond, CASE WHEN a.tags = b.tags THEN a.n * (a.n - 1) / 2 ELSE a.n * b.n END AS w,
+ CASE WHEN len(a.tags) + len(b.tags) = 0 THEN 1.0 ELSE len(list_intersect(a.tags, b.tags)) / len(list_distinct(list_concat(a.tags, b.tags))) END AS score
+ FROM g a JOIN g b ON a.cond = b.cond AND a.image = b.image AND a.tags <= b.tags),
+m AS (SELECT cond, round(sum(score * w) / sum(w), 6) AS mean_jaccard FROM p WHERE w > 0 GROUP BY cond)
+SELECT cond, vocabulary, mean_jaccard FROM (SELECT cond, count(DISTINCT (i * 7 + k * k) % 11) AS vocabulary FROM t GROUP BY cond) LEFT JOIN m USING (cond)""", with_catalog=False)
 def prompt_vocabulary(spark, d):
-    return reports.agreement(derived.prompt_rows(spark, d)).select("cond", "vocabulary")
+    return reports.agreement(derived.prompt_rows(spark, d))
 
 
 LOG = """
@@ -574,3 +580,161 @@ def settings_map(spark, d):
 def video_frames(spark, d):
     media = derived.media(spark, d).select("id", (F.col("id") % 70).cast("double").alias("timestamp"), F.lit(60.0).alias("duration"))
     return analysis.video_frames(media).select("id", "seconds", "frame")
+
+
+# changes of single rows and of whole tables
+
+
+@query("set_setting", "SELECT r_name AS key, CASE WHEN r_name = 'ASIA' THEN 'x' ELSE CAST(r_regionkey AS VARCHAR) END AS value FROM region", with_catalog=False)
+def set_setting(spark, d):
+    own = derived.table(spark, d, "region").select(F.col("r_name").alias("key"), F.col("r_regionkey").cast("string").alias("value"))
+    return mutations.set_setting(own, "ASIA", "x")
+
+
+@query("add_folder", """
+SELECT CAST(n_nationkey AS BIGINT) AS id, '/' || n_name AS path, CAST(0 AS BIGINT) AS created_at FROM nation
+UNION ALL SELECT CAST(max(n_nationkey) + 1 AS BIGINT), '/new', CAST(7 AS BIGINT) FROM nation""", with_catalog=False)
+def add_folder(spark, d):
+    own = derived.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.concat(F.lit("/"), "n_name").alias("path"), F.lit(0).cast("long").alias("created_at"))
+    return mutations.add_folder(mutations.add_folder(own, "/new", 7), "/new", 8)
+
+
+@query("orphans_collected", "SELECT id, name FROM tags WHERE is_category OR id IN (SELECT tag_id FROM media_tags)")
+def orphans_collected(spark, d):
+    return mutations.without_orphans(derived.catalog(spark, d)).tags.select("id", "name")
+
+
+@query("category_upsert", """
+x1 AS (SELECT DISTINCT name FROM (SELECT name FROM tags WHERE id % 7 = 0 UNION ALL SELECT lower(p_brand) FROM part)),
+x2 AS (SELECT name FROM x1 WHERE name NOT IN (SELECT name FROM tags))
+SELECT id, name, name_ja, is_category OR name IN (SELECT name FROM x1) AS is_category, tag_kind FROM tags
+UNION ALL SELECT (SELECT max(id) FROM tags) + row_number() OVER (ORDER BY name), name, NULL, TRUE, 'basic' FROM x2""")
+def category_upsert(spark, d):
+    own = derived.catalog(spark, d).tags
+    names = own.where("id % 7 = 0").select(F.concat(F.lit(" "), F.upper("name")).alias("name")).union(derived.table(spark, d, "part").select("p_brand"))
+    return mutations.upsert_categories(own, names)
+
+
+UPSERTED = """
+x1 AS (SELECT name, min(ja) AS ja FROM (SELECT name, CASE WHEN id % 3 = 0 THEN {blank} ELSE 'new' || id END AS ja FROM tags WHERE id % 4 = 0 AND regexp_matches(name, '^[a-z]*[a-rt-z]$')
+ UNION ALL SELECT replace(lower(p_brand), '#', '') || 'x', p_type FROM part) GROUP BY name)
+SELECT id, t.name, {label} AS name_ja, is_category, tag_kind FROM tags t LEFT JOIN x1 USING (name)
+UNION ALL SELECT (SELECT max(id) FROM tags) + row_number() OVER (ORDER BY name), name, ja, FALSE, '{kind}' FROM x1 WHERE name NOT IN (SELECT name FROM tags)"""
+
+
+def _upserted(spark, d, kind, labels):
+    own = derived.catalog(spark, d).tags
+    new = own.where("id % 4 = 0 AND name RLIKE '^[a-z]*[a-rt-z]$'").select(F.col("name").alias("en"), F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("new"), "id")).alias("ja"))
+    brands = derived.table(spark, d, "part").select(F.concat(F.regexp_replace(F.lower("p_brand"), "#", ""), F.lit("x")), F.col("p_type"))
+    return mutations.upsert_tags(own, new.union(brands), kind, labels)
+
+
+@query("tag_upsert_replace", UPSERTED.format(blank="NULL", label="coalesce(ja, name_ja)", kind="basic"))
+def tag_upsert_replace(spark, d):
+    return _upserted(spark, d, "basic", "replace")
+
+
+@query("tag_upsert_blank", UPSERTED.format(blank="''", label="coalesce(ja, name_ja)", kind="basic"))
+def tag_upsert_blank(spark, d):
+    return _upserted(spark, d, "basic", "blank")
+
+
+@query("tag_upsert_descriptive", UPSERTED.format(blank="NULL", label="coalesce(name_ja, ja)", kind="descriptive"))
+def tag_upsert_descriptive(spark, d):
+    return _upserted(spark, d, "descriptive", "keep")
+
+
+@query("add_tag", "SELECT media_id, tag_id FROM media_tags UNION SELECT 1, (SELECT max(id) + 1 FROM tags)")
+def add_tag(spark, d):
+    return mutations.add_tag(derived.catalog(spark, d), 1, " Zzunheard ").media_tags
+
+
+@query("remove_tag", """
+x1 AS (SELECT media_id, tag_id FROM media_tags WHERE NOT (media_id = 1 AND tag_id = 2))
+SELECT media_id, tag_id FROM x1""")
+def remove_tag(spark, d):
+    return mutations.remove_tag(derived.catalog(spark, d), 1, 2).media_tags
+
+
+@query("rename_tag", "SELECT id, CASE WHEN id = 13 THEN 'renamed' ELSE name END AS name, CASE WHEN id = 13 THEN 'label' ELSE name_ja END AS name_ja FROM tags")
+def rename_tag(spark, d):
+    return mutations.rename_tag(derived.catalog(spark, d).tags, 13, "renamed", "label").select("id", "name", "name_ja")
+
+
+@query("reset_selected", "SELECT id, CASE WHEN id % 3 = 0 THEN 'pending' ELSE analysis_status END AS analysis_status, CASE WHEN id % 3 <> 0 THEN analysis_error END AS analysis_error FROM media")
+def reset_selected(spark, d):
+    own = derived.media(spark, d)
+    return mutations.reset_media(own, own.where("id % 3 = 0").select("id")).select("id", "analysis_status", "analysis_error")
+
+
+@query("reset_all", "SELECT id, 'pending' AS analysis_status, CAST(NULL AS VARCHAR) AS analysis_error, CAST(0 AS BIGINT) AS links FROM media")
+def reset_all(spark, d):
+    cat = mutations.reset_all(derived.catalog(spark, d))
+    links = cat.media_tags.groupBy(F.col("media_id").alias("id")).agg(F.count(F.lit(1)).alias("links"))
+    return cat.media.join(links, "id", "left").select("id", "analysis_status", "analysis_error", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
+@query("mark_results", """
+SELECT id, CASE WHEN id % 3 = 0 THEN 'failed' WHEN id % 3 = 1 THEN 'completed' ELSE analysis_status END AS analysis_status,
+ CASE WHEN id % 3 = 0 THEN 'broken ' || id WHEN id % 3 = 2 THEN analysis_error END AS analysis_error FROM media""")
+def mark_results(spark, d):
+    own = derived.media(spark, d)
+    error = F.when(F.col("id") % 3 == 0, F.concat(F.lit("broken "), "id"))
+    return mutations.mark_results(own, own.where("id % 3 < 2").select(F.col("id").alias("media_id"), error.alias("error"))).select("id", "analysis_status", "analysis_error")
+
+
+@query("replaced_links", "SELECT media_id, tag_id FROM media_tags WHERE media_id % 4 <> 0 UNION SELECT id, 13 + id % 5 FROM media WHERE id % 4 = 0")
+def replaced_links(spark, d):
+    cat = derived.catalog(spark, d)
+    done = cat.media.where("id % 4 = 0").select(F.col("id").alias("media_id"))
+    return mutations.replaced_links(cat.media_tags, done.withColumn("tag_id", 13 + F.col("media_id") % 5), done)
+
+
+@query("suggestion_mapping", """
+x1 AS (SELECT id, id - id % 6 AS master FROM tags WHERE id > 12 AND id - id % 6 > 12)
+SELECT id AS source, master AS target FROM x1 WHERE id <> master AND (master // 6) % 3 = 0 AND id % 6 <> 4""")
+def suggestion_mapping(spark, d):
+    own = derived.catalog(spark, d).tags.where("id > 12 AND id - id % 6 > 12").select((F.col("id") - F.col("id") % 6).alias("master"), "id")
+    groups = own.groupBy(F.col("master").alias("id")).agg(F.array_sort(F.collect_list("id")).alias("members"))  # six tags a group
+    third = F.floor(F.col("id") / 6) % 3
+    decisions = groups.select("id", (third != 1).alias("accepted"), (third == 2).alias("rejected"), F.col("id").alias("master"), F.filter("members", lambda m: m % 6 == 4).alias("excluded"))
+    return mutations.suggestion_mapping(groups, decisions)
+
+
+@query("seeded_tags", """
+SELECT id, name, name_ja, is_category, tag_kind FROM tags WHERE id NOT IN (3, 5)
+UNION ALL SELECT (SELECT max(id) FROM tags) + row_number() OVER (ORDER BY name), name, name_ja, TRUE, 'basic' FROM tags WHERE id IN (3, 5)""")
+def seeded_tags_query(spark, d):
+    return seeded_tags(derived.catalog(spark, d).tags.where("id NOT IN (3, 5)"))
+
+
+@query("migrated_tags", "SELECT id, name, CAST(NULL AS VARCHAR) AS name_ja, FALSE AS is_category, 'basic' AS tag_kind FROM tags")
+def migrated_tags_query(spark, d):
+    return migrated_tags(derived.catalog(spark, d).tags.select("id", "name"))
+
+
+@query("tag_rollup", "SELECT name, count, name_ja, kind FROM counts WHERE NOT is_category AND count > 0")
+def tag_rollup(spark, d):
+    cat = derived.catalog(spark, d)
+    return reports.tag_rollup(catalog.media_items(cat.media, cat.tags, cat.media_tags))
+
+
+@query("shown_tag", "SELECT id, name FROM counts WHERE name = 'animal' OR name_ja = 'animal' ORDER BY is_category DESC, count DESC, coalesce(name_ja, name), id LIMIT 1")
+def shown_tag(spark, d):
+    cat = derived.catalog(spark, d)
+    return catalog.shown_tag(catalog.tag_counts(cat.tags, cat.media_tags), "animal").select("id", "name")
+
+
+@query("localized", """
+SELECT n_name AS key, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN 'e' || n_nationkey END, CASE WHEN n_nationkey % 3 = 0 THEN 'j' || n_nationkey END,
+ CASE WHEN n_nationkey % 5 = 0 THEN 'd' END, n_name) AS text FROM nation""", with_catalog=False)
+def localized(spark, d):
+    k, own = F.col("n_nationkey"), derived.table(spark, d, "nation")
+    keys = own.select(F.col("n_name").alias("key"), F.when(k % 5 == 0, "d").alias("default"))
+    one = lambda lang, m, c: own.where(k % m == 0).select(F.lit(lang).alias("lang"), F.col("n_name").alias("key"), F.concat(F.lit(c), k.cast("string")).alias("text"))
+    return catalog.localized(keys, one("en", 2, "e").union(one("ja", 3, "j")), "en")
+
+
+@query("failed_media", "SELECT id FROM media WHERE analysis_status = 'failed'")
+def failed_media(spark, d):
+    return catalog.failed(derived.media(spark, d))
