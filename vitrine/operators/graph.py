@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star rounds (Kiveris et al. 2014).
 
-Each round is joins and grouped minima; no node's neighbours are gathered in one place. Rounds end
-in a table of the shared folder, so lineage stays short and a lost executor costs one round.
+Each round is joins and grouped minima; no node's neighbours are gathered in one place. Rounds go on
+until each node points at the smallest of its component. Each ends in a table of the shared folder,
+so lineage stays short and a lost executor costs one round.
 """
 
 from __future__ import annotations
@@ -29,17 +30,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(joined.where("v = m").select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node of edges (u > v) points to one node that points to none: then that is its component."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))
+    count = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return count.where("out > 1 OR out + into > 1").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of edges (pairs of longs), component its smallest node.
 
     Null ends and loops are left out, repeated and reversed edges count once. No edges: no rows.
     """
     ends = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    now, before = written(ends.distinct(), "edges"), None
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before or not mark[0]:
-            break
-        before = mark
+    now = written(ends.distinct(), "edges")
+    while not _settled(now):
         now = written(_small_star(_large_star(now)), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
