@@ -52,6 +52,19 @@ def test_chunks_compose():
     assert FST.counts(texts) == [len(ids(WORD, t)) for t in texts]
 
 
+@pytest.mark.parametrize("most, at_once", [(1000, 1 << 20), (1000, 700), (6, 50)])
+def test_a_full_table_gives_way_to_the_library(monkeypatch, most, at_once):
+    monkeypatch.setattr(tokencount, "MOST_STATES", most)
+    monkeypatch.setattr(tokencount, "MOST_PAIRS", 500)
+    monkeypatch.setattr(tokencount, "AT_ONCE", at_once)
+    fst, rng = tokencount.Transducer(WORD), np.random.default_rng(7)
+    letters = ["".join(rng.choice(list("abcdefgEXT'1 \n" if k % 2 else "aehinorstEX1"), 2000)) for k in range(6)]
+    texts = [*letters, "<|ENDOFTEXT|> and <|endoftext|>", "plain words", None]
+    for _ in range(2):  # the table starts anew
+        assert fst.counts(texts) == [len(ids(WORD, t)) for t in texts]
+        assert len(fst.keys) <= most
+
+
 def test_other_layouts_are_refused():
     with pytest.raises(ValueError):
         tokencount.Transducer(BYTE)

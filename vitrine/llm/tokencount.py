@@ -14,7 +14,9 @@ end of a word emits what its closing token (with the word-end mark) changes.
 
 States between pre-tokens: a start, and the few that decide contractions.
 
-States are made when first met and kept in a dense table. Texts are laid end to end, cut into
+States are made when first met and kept in a dense table of at most MOST_STATES. Where a run of
+texts would pass that, as random letters do, the run is counted by the library word by word, and
+the table starts anew. So a worker's memory does not grow with its texts. Texts are laid end to end, cut into
 chunks, and all chunks step through the table at once. White space leads every state to the
 start, so a chunk's state map is: its part up to its first white space (a function of the
 entry state), a fixed count after it, and a fixed exit state. Maps are composed left to right:
@@ -43,9 +45,15 @@ _OPEN = {"r": APOS_R, "v": APOS_V, "l": APOS_L}
 _HELD = {APOS: "", APOS_R: "r", APOS_V: "v", APOS_L: "l"}
 WIDTH = 128  # characters of the plain alphabet, lower-cased, that have a column of their own
 BIAS, SHIFT = 32, 6
-#: States kept before the table starts anew; it changes speed alone.
-MOST_STATES = 350_000
+#: States a table has at most, some 3 KB each, and neighbouring tokens remembered; they change speed alone.
+MOST_STATES, MOST_PAIRS = 200_000, 2_000_000
 CHUNK = 512
+#: Characters given to the library at once, unless one word is longer.
+AT_ONCE = 1 << 20
+
+
+class Full(Exception):
+    """A table has all the states it may have."""
 
 
 class Transducer:
@@ -98,6 +106,8 @@ class Transducer:
         """Whether token after before (None: at the word's beginning) is how their text is encoded."""
         known = self.pair_ok.get((before, token))
         if known is None:
+            if len(self.pair_ok) >= MOST_PAIRS:
+                self.pair_ok.clear()
             want = [token] if before is None else [before, token]
             known = self.pair_ok[before, token] = self.merged(self.symbols("".join(want))) == want
         return known
@@ -185,6 +195,8 @@ class Transducer:
     def number(self, key) -> int:
         found = self.numbers.get(key)
         if found is None:
+            if len(self.keys) >= MOST_STATES:
+                raise Full
             found = self.numbers[key] = len(self.keys)
             self.keys.append(key)
             if len(self.keys) * WIDTH > len(self.table):
@@ -211,10 +223,6 @@ class Transducer:
 
     def emitted(self, columns: np.ndarray) -> np.ndarray:
         """For one long row of columns that ends in white space: what each character emits."""
-        if len(self.keys) > MOST_STATES:
-            self.fresh()
-            if len(self.pair_ok) > 4 * MOST_STATES:
-                self.pair_ok.clear()
         n = len(columns)
         lanes = -(-n // CHUNK)
         padded = np.zeros(lanes * CHUNK, dtype=np.uint8)
@@ -245,6 +253,28 @@ class Transducer:
             open_ = np.setdiff1d(open_, ready, assume_unique=True)
         return out.T.reshape(-1)[:n]
 
+    def stepped(self, text: str) -> int:
+        """Tokens of one text, character by character, without a table."""
+        state, total = START, 0
+        for c in self.library.normalizer.normalize_str(text) + " ":
+            state, n = self.step(state, c)
+            total += n
+        return total
+
+    def by_library(self, text: str) -> int:
+        """Tokens of one plain text, in parts that end in white space; a word longer than a part is stepped."""
+        total = at = 0
+        while at < len(text):
+            end = len(text)
+            if end - at > AT_ONCE:
+                end = max(text.rfind(c, at, at + AT_ONCE) for c in " \n\r\t") + 1
+                if not end:
+                    later = [x for c in " \n\r\t" if (x := text.find(c, at + AT_ONCE)) >= 0]
+                    end = min(later) + 1 if later else len(text)
+            part, at = text[at:end], end
+            total += self.stepped(part) if len(part) > AT_ONCE else len(self.library.encode(part, add_special_tokens=False).ids)
+        return total
+
     def counts(self, texts: list[str | None]) -> list[int]:
         """Tokens of each whole text (null: none), added tokens' strings counting one each."""
         totals, plain, owners = [0] * len(texts), [], []
@@ -257,17 +287,19 @@ class Transducer:
                 if not p:
                     continue
                 if PLAIN.fullmatch(p):
-                    plain.append(p.lower())
+                    plain.append(p)
                     owners.append(i)
                 else:
-                    state = START
-                    for c in self.library.normalizer.normalize_str(p) + " ":
-                        state, n = self.step(state, c)
-                        totals[i] += n
+                    totals[i] += self.stepped(p)
         if plain:
-            row = self.column[np.frombuffer(" ".join([*plain, ""]).encode("latin-1"), dtype=np.uint8)]
+            row = self.column[np.frombuffer(" ".join([*plain, ""]).lower().encode("latin-1"), dtype=np.uint8)]
             begins = np.cumsum([0, *[len(p) + 1 for p in plain[:-1]]])
-            for i, n in zip(owners, np.add.reduceat(self.emitted(row), begins, dtype=np.int64).tolist(), strict=True):
+            try:
+                found = np.add.reduceat(self.emitted(row), begins, dtype=np.int64).tolist()
+            except Full:
+                self.fresh()
+                found = [self.by_library(p) for p in plain]
+            for i, n in zip(owners, found, strict=True):
                 totals[i] += n
         return totals
 
@@ -282,7 +314,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str =
     """(key, n_bytes, n_tokens, over_limit) for each row of docs, whole texts, one pass, no shuffle.
 
     Null texts count as empty: 0 bytes, 0 tokens. Rows with equal or null keys stay rows of their
-    own. Other columns of docs are not read, so their names cannot clash. An empty table gives none.
+    own. A text of any length, with or without white space, is counted in bounded memory. Other columns of docs are not read, so their names cannot clash. An empty table gives none.
     tokenizer: the path of the file, to be found under the same path by every executor.
     """
 
