@@ -1,6 +1,7 @@
 """Merge suggestions against the plain all-pairs rule."""
 
 import itertools
+import random
 
 from vitrine.operators import graph, resolution
 
@@ -32,6 +33,23 @@ def test_edit_candidates_lose_nothing(spark):
             assert (a, b) in got, (rows[a].name, rows[b].name)
 
 
+def test_spelling_loses_nothing(spark):
+    draw = random.Random(5)
+    names = {"".join(draw.choices("abc", k=draw.randint(4, 23))) for _ in range(60)}
+    for name in sorted(names):
+        at = draw.randrange(len(name))
+        names |= {name[:at] + name[at + 1 :], name[:at] + "bca" + name[at:], name[:at] + "é" + name[at + 1 :]}
+    names = sorted(x for x in names if len(x.encode()) >= 4)
+    rows = [(i, x, "basic" if i % 7 else "descriptive") for i, x in enumerate(names)]
+    got = {(r.rank1, r.rank2) for r in resolution.spelled(spark.createDataFrame(rows, "rank int, name string, kind string")).collect()}
+    for (i, x, k), (j, y, m) in itertools.combinations(rows, 2):
+        a, b = len(x.encode()), len(y.encode())
+        if k == m and abs(a - b) <= 3 and abs(len(x) - len(y)) <= 3:
+            d = distance(x, y)
+            if d == 1 or d <= 3 and max(a, b) >= 8:
+                assert (i, j) in got, (x, y)
+
+
 def test_pairs_take_the_first_rule(spark):
     found = {(r.id1, r.id2): (r.rule, r.reason) for r in resolution.pairs(features(spark)).collect()}
     assert found[3, 5] == ("a", "同一日本語表記 (猫)")

@@ -12,6 +12,7 @@ from vitrine.functions import scalar as S
 from vitrine.operators.graph import components
 
 LEAST, MOST = 2, 15
+WORDY = 19
 DEFAULT_REASON = "類似タググループ"
 
 
@@ -37,12 +38,32 @@ def _segments(n: Column, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.struct(i.alias("place"), F.floor(i * n / parts).cast("int").alias("begin"), (F.floor((i + 1) * n / parts) - F.floor(i * n / parts)).cast("int").alias("size")))
 
 
-def edit_candidates(tags: DataFrame, k: int) -> DataFrame:
+def _shorter(names: Column) -> Column:
+    """All texts that lack one character of a list's texts."""
+    without = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(s.substr(F.lit(1), i - 1), s.substr(i + 1, F.length(s))))
+    return F.array_distinct(F.flatten(F.transform(F.filter(names, lambda s: s != ""), without)))
+
+
+def deletion_candidates(tags: DataFrame, k: int, least: int = 0) -> DataFrame:
+    """(rank1, rank2) of names within k edits, one of them of `least` characters or more: what the edits
+    leave is found in both by deleting k characters at most, and has least - k or more. More pairs may come."""
+    n = F.length("name")
+    rows = tags.select("rank", "kind", F.array("name").alias("level0"), (n - (least - k)).alias("may")).where("may >= 0")
+    for i in range(1, k + 1):
+        rows = rows.withColumn(f"level{i}", F.when(F.col("may") >= i, _shorter(F.col(f"level{i - 1}"))).otherwise(F.array().cast("array<string>")))
+    rows = rows.select("rank", F.explode(F.concat(*[f"level{i}" for i in range(k + 1)])).alias("left"), "kind").select("rank", F.xxhash64("kind", "left").alias("left"))
+    a, b = rows.toDF("rank1", "left"), rows.toDF("rank2", "left")
+    return a.join(b, "left").where("rank1 < rank2").select("rank1", "rank2").distinct()
+
+
+def edit_candidates(tags: DataFrame, k: int, others: DataFrame | None = None) -> DataFrame:
     """(rank1, rank2) of names within k edits, and more: one of k + 1 segments of one name stands in
-    the other, shifted by k at most."""
+    the other, shifted by k at most. others: pairs with one of these are enough."""
     n = F.length("name")
-    own = tags.select("rank", "kind", n.alias("n"), "name", F.explode(_segments(n, k)).alias("s")).select(F.col("rank").alias("ra"), "kind", "n", F.col("s.place").alias("place"), F.col("name").substr(F.col("s.begin") + 1, F.col("s.size")).alias("part"))
+    of = tags if others is None else others
+    own = of.select("rank", "kind", n.alias("n"), "name", F.explode(_segments(n, k)).alias("s")).select(F.col("rank").alias("ra"), "kind", "n", F.col("s.place").alias("place"), F.col("name").substr(F.col("s.begin") + 1, F.col("s.size")).alias("part"))
     probes = tags.select("rank", "kind", "name", F.explode(F.sequence(F.greatest(n - k, F.lit(1)), n + k)).alias("n"))
+    probes = probes.join(of.select("kind", n.alias("n")).distinct(), ["kind", "n"], "left_semi")
     probes = probes.select("rank", "kind", "name", "n", F.explode(_segments(F.col("n"), k)).alias("s"))
     probes = probes.select("rank", "kind", "name", "n", "s", F.explode(F.sequence(F.lit(-k), F.lit(k))).alias("shift"))
     begin = F.col("s.begin") + F.col("shift")
@@ -52,6 +73,19 @@ def edit_candidates(tags: DataFrame, k: int) -> DataFrame:
     return met.select(F.least("ra", "rb").alias("rank1"), F.greatest("ra", "rb").alias("rank2")).distinct()
 
 
+def spelled(long: DataFrame) -> DataFrame:
+    """(rank1, rank2) of names one edit apart, or three where one has eight bytes or more, and more pairs.
+
+    Names of bytes only and at most WORDY long meet by what deletions leave; pairs with a longer one,
+    whose segments are long, or one with wider characters meet by segments.
+    """
+    n = F.length("name")
+    plain = (F.octet_length("name") == n) & (n <= WORDY)
+    words, others, five = long.where(plain), long.where(~plain), F.octet_length("name") >= 5
+    met = deletion_candidates(words, 1).union(deletion_candidates(words, 3, 8))
+    return met.union(edit_candidates(long, 1, others)).union(edit_candidates(long.where(five), 3, others.where(five))).distinct()
+
+
 def rule_pairs(tags: DataFrame, rule: str) -> DataFrame:
     """(rank1, rank2, reason) of one rule, a to e; tags as from featured()."""
     slim = tags.select("rank", "kind", "name", "norm", "words", "ja")
@@ -72,7 +106,7 @@ def rule_pairs(tags: DataFrame, rule: str) -> DataFrame:
         reason = F.concat(F.lit("類似日本語表記 ("), S.common_prefix("ja1", "ja2"), F.lit(")"))
     elif rule == "e":
         long = slim.where(F.octet_length("name") >= 4)
-        met = edit_candidates(long, 1).union(edit_candidates(long.where(F.octet_length("name") >= 5), 3)).distinct()
+        met = spelled(long)
         names = long.select("rank", "name")
         got = met.join(names.toDF("rank1", "name1"), "rank1").join(names.toDF("rank2", "name2"), "rank2")
         got = got.withColumn("dist", F.levenshtein("name1", "name2", 3))

@@ -41,38 +41,39 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    """(media_id, words): the distinct words of ten letters or more of each document that has any."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 10))
-    return docs.select(F.col("doc_id").alias("media_id"), F.explode(words).alias("token"))
-
-
-def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(token, rk): the 300 tokens that most English documents hold."""
-    counts = _tokens(spark, sf_dir).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(300)
-    return top.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("n"), "token")))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("media_id"), words.alias("words")).where(F.size("words") > 0)
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = vocabulary(spark, sf_dir)
-    block, rest = F.floor(F.col("rk") / 11), F.col("rk") % 11
-    label = F.when(rest <= 1, F.concat(F.substring(F.sha2(block.cast("string").cast("binary"), 256), 1, 6), F.when(block % 2 == 1, rest.cast("string")).otherwise("")))
-    basic = vocab.select(F.col("rk").alias("ord"), F.col("token").alias("name"), label.alias("name_ja"), F.lit("basic").alias("tag_kind"))
-    plural = vocab.where("rk <= 10").select((300 + F.col("rk")).alias("ord"), F.concat("token", F.lit("s")).alias("name"), F.lit(None).cast("string").alias("name_ja"), F.lit("basic").alias("tag_kind"))
-    name = F.regexp_replace(F.concat_ws("_", F.lower("p_type"), "p_name"), " ", "_")
-    described = table(spark, sf_dir, "part").where("p_partkey < 12").select(F.lit(1000).alias("ord"), name.alias("name"), F.lit(None).cast("string").alias("name_ja"), F.lit("descriptive").alias("tag_kind")).distinct()
-    free = basic.unionByName(plural).unionByName(described).withColumn("id", 12 + F.row_number().over(Window.orderBy("ord", "name")))
+    """The categories, every word, plurals of words that five documents hold, and every kind of part."""
+    counts = _tokens(spark, sf_dir).select(F.explode("words").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    row = lambda block, name: F.struct(F.lit(block).alias("block"), (-F.col("n")).alias("less"), name.alias("name"))
+    named = counts.select("n", F.explode(F.array(row(0, F.col("token")), row(1, F.concat("token", F.lit("s"))))).alias("x")).where("x.block = 0 OR n >= 5")
+    named = named.groupBy("x.name").agg(F.min(F.struct("x.block", "x.less")).alias("at")).select("name", "at.block", "at.less")
+    part = F.regexp_replace(F.concat_ws("_", F.lower("p_type"), "p_name"), " ", "_")
+    described = table(spark, sf_dir, "part").select(part.alias("name"), F.lit(2).alias("block"), F.lit(0).cast("long").alias("less")).distinct()
+    k = F.row_number().over(Window.orderBy("block", "less", "name"))
+    free = named.unionByName(described).withColumn("k", k.cast("long"))
+    block, rest = F.floor(F.col("k") / 11), F.col("k") % 11
+    label = F.when((F.col("block") == 0) & (rest <= 1), F.concat(F.substring(F.sha2(block.cast("string").cast("binary"), 256), 1, 6), F.when(block % 2 == 1, rest.cast("string")).otherwise("")))
+    kind = F.when(F.col("block") == 2, "descriptive").otherwise("basic")
+    free = free.select((12 + F.col("k")).alias("id"), "name", label.alias("name_ja"), F.lit(False).alias("is_category"), kind.alias("tag_kind"))
     fixed = spark.createDataFrame([(i, n, ja) for i, (n, ja) in enumerate(CATEGORIES.items(), 1)], "id long, name string, name_ja string")
-    own = fixed.select("id", "name", "name_ja", F.lit(True).alias("is_category"), F.lit("basic").alias("tag_kind"))
-    return own.unionByName(free.select(F.col("id").cast("long").alias("id"), "name", "name_ja", F.lit(False).alias("is_category"), "tag_kind"))
+    return fixed.select("id", "name", "name_ja", F.lit(True).alias("is_category"), F.lit("basic").alias("tag_kind")).unionByName(free)
 
 
 def media_tags(spark: SparkSession, sf_dir: str, all_tags: DataFrame, all_media: DataFrame) -> DataFrame:
-    free = all_tags.where("id BETWEEN 13 AND 312").select(F.col("id").alias("tag_id"), F.col("name").alias("token"))
-    words = _tokens(spark, sf_dir).join(F.broadcast(free), "token").select("media_id", "tag_id")  # 300 rows
+    """Each medium has its words, every third also their plurals where they are tags, a category when
+    completed, and kinds of parts by remainder."""
+    free = all_tags.where("NOT is_category AND tag_kind = 'basic'").select(F.col("id").alias("tag_id"), "name")
+    plurals = F.when(F.col("media_id") % 3 == 0, F.transform("words", lambda w: F.concat(w, F.lit("s")))).otherwise(F.array().cast("array<string>"))
+    names = _tokens(spark, sf_dir).select("media_id", F.explode(F.array_distinct(F.concat("words", plurals))).alias("name"))
+    words = names.join(free, "name").select("media_id", "tag_id")
     cats = all_media.where("analysis_status = 'completed'").select(F.col("id").alias("media_id"), (1 + F.col("id") % 12).alias("tag_id"))
-    rest = all_tags.where("id > 312 AND id % 5 <> 0").select(F.col("id").alias("tag_id"), (F.col("id") % 29).alias("r"))
-    other = all_media.select(F.col("id").alias("media_id"), (F.col("id") % 29).alias("r")).join(F.broadcast(rest), "r").select("media_id", "tag_id")
+    rest = all_tags.where("tag_kind = 'descriptive' AND id % 5 <> 0").select(F.col("id").alias("tag_id"), (F.col("id") % 29).alias("r"))
+    other = all_media.select(F.col("id").alias("media_id"), (F.col("id") % 29).alias("r")).join(rest, "r").select("media_id", "tag_id")
     return words.unionByName(cats).unionByName(other)
 
 

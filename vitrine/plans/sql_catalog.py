@@ -21,24 +21,25 @@ WITH media AS (
     FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 ), toks AS (
     SELECT DISTINCT doc_id AS media_id, token
-    FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS token FROM documents WHERE lang = 'en')
+    FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS token FROM documents)
     WHERE length(token) >= 10
 ), vocab AS (
-    SELECT token, n, row_number() OVER (ORDER BY n DESC, token) AS rk
-    FROM (SELECT token, count(*) AS n FROM toks GROUP BY token ORDER BY n DESC, token LIMIT 300)
-), free AS (
-    SELECT rk AS ord, token AS name,
-           CASE WHEN rk % 11 <= 1 THEN substr(sha256(CAST(rk // 11 AS VARCHAR)), 1, 6) ||
-                CASE WHEN (rk // 11) % 2 = 1 THEN CAST(rk % 11 AS VARCHAR) ELSE '' END END AS name_ja, 'basic' AS tag_kind FROM vocab
-    UNION ALL SELECT 300 + rk, token || 's', NULL, 'basic' FROM vocab WHERE rk <= 10
-    UNION ALL SELECT DISTINCT 1000, replace(lower(p_type) || '_' || p_name, ' ', '_'), NULL, 'descriptive' FROM part WHERE p_partkey < 12
+    SELECT token, count(*) AS n FROM toks GROUP BY token
+), tag_names AS (
+    SELECT token AS name, 0 AS block, -n AS less FROM vocab
+    UNION ALL SELECT token || 's', 1, -n FROM vocab v WHERE n >= 5 AND NOT EXISTS (SELECT 1 FROM vocab w WHERE w.token = v.token || 's')
+    UNION ALL SELECT DISTINCT replace(lower(p_type) || '_' || p_name, ' ', '_'), 2, 0 FROM part
+), tag_places AS (
+    SELECT name, block, row_number() OVER (ORDER BY block, less, name) AS k FROM tag_names
 ), tags AS (
     SELECT CAST(id AS BIGINT) AS id, name, name_ja, TRUE AS is_category, 'basic' AS tag_kind FROM (VALUES {_CATS}) c(id, name, name_ja)
-    UNION ALL SELECT 12 + row_number() OVER (ORDER BY ord, name), name, name_ja, FALSE, tag_kind FROM free
+    UNION ALL SELECT 12 + k, name, CASE WHEN block = 0 AND k % 11 <= 1 THEN substr(sha256(CAST(k // 11 AS VARCHAR)), 1, 6) ||
+                CASE WHEN (k // 11) % 2 = 1 THEN CAST(k % 11 AS VARCHAR) ELSE '' END END, FALSE, CASE WHEN block = 2 THEN 'descriptive' ELSE 'basic' END FROM tag_places
 ), media_tags AS (
-    SELECT media_id, id AS tag_id FROM toks JOIN tags ON token = name AND id BETWEEN 13 AND 312
+    SELECT media_id, id AS tag_id FROM (SELECT media_id, token AS name FROM toks UNION SELECT media_id, token || 's' FROM toks WHERE media_id % 3 = 0) x
+    JOIN tags USING (name) WHERE NOT is_category AND tag_kind = 'basic'
     UNION ALL SELECT id, 1 + id % 12 FROM media WHERE analysis_status = 'completed'
-    UNION ALL SELECT m.id, t.id FROM media m JOIN tags t ON m.id % 29 = t.id % 29 AND t.id > 312 AND t.id % 5 <> 0
+    UNION ALL SELECT m.id, t.id FROM media m JOIN tags t ON m.id % 29 = t.id % 29 AND t.tag_kind = 'descriptive' AND t.id % 5 <> 0
 ), counts AS (
     SELECT t.id, t.name, t.name_ja, t.is_category, count(mt.media_id) AS count, t.tag_kind AS kind
     FROM tags t LEFT JOIN media_tags mt ON mt.tag_id = t.id GROUP BY ALL

@@ -363,11 +363,21 @@ def merge_tags(spark, d):
     return _merged(spark, d).tags.select("id", "name")
 
 
+#: For each rule, pairs that hold all that it can link.
+MET = {
+    "a": "SELECT a.r AS r1, b.r AS r2 FROM x1 a JOIN x1 b ON a.kind = b.kind AND a.ja = b.ja AND a.r < b.r",
+    "b": "SELECT a.r AS r1, b.r AS r2 FROM x1 a JOIN x1 b ON a.kind = b.kind AND a.norm = b.norm AND a.r < b.r",
+    "c": "SELECT DISTINCT a.r AS r1, b.r AS r2 FROM (SELECT r, kind, unnest(words) AS w FROM x1) a JOIN (SELECT r, kind, unnest(words) AS w FROM x1) b ON a.kind = b.kind AND a.w = b.w AND a.r < b.r",
+    "d": "SELECT a.r AS r1, b.r AS r2 FROM x1 a JOIN x1 b ON a.kind = b.kind AND left(a.ja, 4) = left(b.ja, 4) AND a.r < b.r",
+    "e": "SELECT a.r AS r1, b.r AS r2 FROM x1 a JOIN x1 b ON a.kind = b.kind AND a.r < b.r AND abs(strlen(a.name) - strlen(b.name)) <= 3 AND levenshtein(a.name, b.name) <= 3",
+}
+
 RULE = """
 x1 AS (SELECT id, name, kind, trim(name_ja) AS ja, {norm} AS norm, row_number() OVER (ORDER BY count DESC, coalesce(name_ja, name), id) AS r,
  list_filter(regexp_split_to_array(name, '[_-]'), lambda w: strlen(w) >= 3 AND NOT list_contains([{stop}], w)) AS words FROM counts WHERE NOT is_category AND count > 0),
+met AS ({met}),
 x2 AS (SELECT a.id AS id1, b.id AS id2, a.name AS n1, b.name AS n2, a.ja AS j1, b.ja AS j2, a.norm AS norm, b.norm AS norm2, list_filter(a.words, lambda w: list_contains(b.words, w)) AS common,
- levenshtein(a.name, b.name) AS dist FROM x1 a JOIN x1 b ON a.r < b.r AND a.kind = b.kind),
+ levenshtein(a.name, b.name) AS dist FROM met JOIN x1 a ON a.r = r1 JOIN x1 b ON b.r = r2),
 x3 AS (SELECT id1, id2, CASE WHEN j1 = j2 AND j1 <> '' THEN 'a' WHEN norm = norm2 THEN 'b' WHEN len(common) >= 2 OR (len(common) = 1 AND strlen(common[1]) >= 7) THEN 'c'
  WHEN length(j1) >= 4 AND length(j2) >= 4 AND left(j1, 4) = left(j2, 4) THEN 'd'
  WHEN strlen(n1) >= 4 AND strlen(n2) >= 4 AND abs(strlen(n1) - strlen(n2)) <= 3 AND (dist = 1 OR (dist <= 3 AND greatest(strlen(n1), strlen(n2)) >= 8)) THEN 'e' END AS rule, j1, norm, common, j2, dist FROM x2),
@@ -381,7 +391,7 @@ def _featured(spark, d):
     return cat, tags
 
 
-@query("merge_pairs", RULE + " SELECT id1, id2, rule, reason FROM x4")
+@query("merge_pairs", RULE.replace("{met}", " UNION ".join(MET.values())) + " SELECT id1, id2, rule, reason FROM x4")
 def merge_pairs(spark, d):
     return resolution.pairs(_featured(spark, d)[1])
 
@@ -394,7 +404,7 @@ for _rule, _where in {
     "e": "strlen(n1) >= 4 AND strlen(n2) >= 4 AND abs(strlen(n1) - strlen(n2)) <= 3 AND (dist = 1 OR (dist <= 3 AND greatest(strlen(n1), strlen(n2)) >= 8))",
 }.items():
 
-    @query(f"merge_rule_{_rule}", RULE + f" SELECT id1, id2 FROM x2 WHERE {_where}")
+    @query(f"merge_rule_{_rule}", RULE.replace("{met}", MET[_rule]) + f" SELECT id1, id2 FROM x2 WHERE {_where}")
     def merge_rule(spark, d, rule=_rule):
         tags = _featured(spark, d)[1]
         ids = tags.select("rank", "id")
@@ -402,26 +412,11 @@ for _rule, _where in {
         return got.join(ids.toDF("rank1", "id1"), "rank1").join(ids.toDF("rank2", "id2"), "rank2").select("id1", "id2")
 
 
-GROUPS = RULE.replace("\nx1 AS", "\nx1 AS", 1) + """,
-x5 AS (SELECT id1 AS u, id2 AS v FROM x4 UNION SELECT id2, id1 FROM x4),
-x6 AS (SELECT u AS tag_id, least(u, min(v)) AS group_id FROM x5 GROUP BY u)"""
-
-
-def _components_sql(tail: str) -> str:
-    """With a recursive table, which needs the keyword at the front."""
-    return (CATALOG + ", " + GROUPS.strip() + """,
-reach AS (SELECT u AS tag_id, u AS other FROM x5 UNION SELECT r.tag_id, x5.v FROM reach r JOIN x5 ON x5.u = r.other),
-x7 AS (SELECT tag_id, min(other) AS group_id FROM reach GROUP BY tag_id) """ + tail).replace("WITH media", "WITH RECURSIVE media", 1)
-
-
 @query("merge_components")
 def merge_components(spark, d):
     return resolution.groups(resolution.pairs(_featured(spark, d)[1]))
 
 
-SQL["merge_components"] = _components_sql("SELECT tag_id, group_id FROM x7")
-
-
 @query("merge_suggestions")
 def merge_suggestions(spark, d):
     cat, tags = _featured(spark, d)
@@ -430,17 +425,6 @@ def merge_suggestions(spark, d):
     return got.select("id", F.col("target.id").alias("target_id"), F.array_join(F.transform("sources", lambda x: x["name"]), ",").alias("sources"), "reason", F.array_join("sample_thumbnails", ",").alias("samples"), "total_images_count")
 
 
-SQL["merge_suggestions"] = _components_sql("""
-, y1 AS (SELECT group_id, count(*) AS n FROM x7 GROUP BY 1 HAVING count(*) BETWEEN 2 AND 15),
-y2 AS (SELECT group_id, n, list(t.id ORDER BY strlen(name), name, t.id) AS ids, list(name ORDER BY strlen(name), name, t.id) AS names FROM y1 JOIN x7 USING (group_id) JOIN tags t ON t.id = tag_id GROUP BY ALL),
-y3 AS (SELECT group_id, list_sort(list(DISTINCT reason)) AS rs FROM x7 JOIN (SELECT id1 AS i, reason FROM x4 UNION ALL SELECT id2, reason FROM x4) ON i = tag_id GROUP BY 1),
-y4 AS (SELECT group_id, count(DISTINCT media_id) AS c, list_sort(list(DISTINCT thumbnail_path) FILTER (WHERE thumbnail_path <> ''))[1:5] AS th FROM x7 JOIN media_tags USING (tag_id) JOIN media m ON m.id = media_id GROUP BY 1)
-SELECT 'group-sug-' || (row_number() OVER (ORDER BY n DESC, ids[1]) - 1) AS id, ids[1] AS target_id, array_to_string(names[2:], ',') AS sources,
- CASE WHEN len(rs) > 3 THEN array_to_string(rs[1:3], ' / ') || ' など他' || (len(rs) - 3) || '件' ELSE array_to_string(rs, ' / ') END AS reason,
- coalesce(array_to_string(th, ','), '') AS samples, coalesce(c, 0) AS total_images_count
-FROM y2 JOIN y3 USING (group_id) LEFT JOIN y4 USING (group_id)""").replace("x7 AS (SELECT tag_id, min(other) AS group_id FROM reach GROUP BY tag_id) \n,", "x7 AS (SELECT tag_id, min(other) AS group_id FROM reach GROUP BY tag_id),")
-
-
 @query("analysis_parse", """
 SELECT doc_id AS media_id, CASE WHEN doc_id % 12 = 4 THEN 'empty_response' WHEN doc_id % 12 BETWEEN 5 AND 10 THEN 'parse_error' END AS error,
  CAST(CASE WHEN doc_id % 12 IN (0, 2, 11) THEN 1 WHEN doc_id % 12 = 1 THEN 2 WHEN doc_id % 12 = 3 THEN 0 END AS INTEGER) AS n_tags FROM documents""", with_catalog=False)
@@ -559,11 +543,11 @@ def log_levels(spark, d):
 
 
 @query("download_chunks", """
-WITH l AS (SELECT user_id AS stream, event_id AS line_no, CASE event_id % 4 WHEN 0 THEN NULL ELSE CAST(floor(value) AS BIGINT) END AS c, event_id % 9 = 0 AS broken FROM events WHERE event_type = 'view'),
+WITH l AS (SELECT user_id AS stream, event_id AS line_no, CASE event_id % 4 WHEN 0 THEN NULL ELSE CAST(floor(value) AS BIGINT) END AS c, event_id % 9 = 0 AS broken FROM events),
 k AS (SELECT *, coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY stream ORDER BY line_no), 0) AS completed FROM l WHERE NOT broken)
 SELECT stream, line_no, completed, round(least(100.0, completed / 500.0 * 100), 6) AS percent FROM k""", with_catalog=False)
 def download_chunks(spark, d):
-    e = derived.table(spark, d, "events").where("event_type = 'view'")
+    e = derived.table(spark, d, "events")
     body = F.concat(F.lit('{"status":"pulling","total":500'), F.when(F.col("event_id") % 4 == 0, "").otherwise(F.concat(F.lit(',"completed":'), F.floor("value").cast("string"))), F.lit("}"))
     lines = e.select(F.col("user_id").alias("stream"), F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 9 == 0, '{"status":').otherwise(body).alias("value"))
     return json_files.decoded_chunks(lines).select("stream", "line_no", "completed", F.round("percent", 6).alias("percent"))
