@@ -52,6 +52,29 @@ def test_chunks_compose():
     assert FST.counts(texts) == [len(ids(WORD, t)) for t in texts]
 
 
+def test_state_maps_over_long_runs():
+    rng = np.random.default_rng(3)
+    drawn = "".join(rng.choice(list("0123456789abcdef"), 20_000))
+    texts = ["q" + "x" * 9000, "abc" * 5000, "it's" + "'" * 3000, "日本語のテキスト。" * 400, "é😀" * 1500, "　全角 　空白" * 200, drawn, "İ J̌ ½ \x0b\x0c\x85 x\x01\x7f\x00q" * 200, "ab<|endoftext|>cd" * 100]
+    assert FST.counts(texts) == [len(ids(WORD, t)) for t in texts]
+    for t in texts:
+        assert FST.counts([t]) == [len(ids(WORD, t))]
+
+
+def test_maps_are_composed_as_one_walk_goes():
+    rng = np.random.default_rng(4)
+    for lanes in (1, 2, 3, 8, 37):
+        to = rng.integers(0, 3, (lanes, 3))  # from three states to three, and a count each
+        counts = rng.integers(0, 9, (lanes, 3))
+        keys = np.array([c << 32 | s for c in range(lanes) for s in range(3) if c or not s])
+        at = lambda x: np.array([x[k >> 32, k & 0xFFFFFFFF] for k in keys.tolist()])
+        want, state = [], 0
+        for c in range(lanes):
+            want.append(counts[c, state])
+            state = to[c, state]
+        assert tokencount.composed(keys, at(to), at(counts), lanes).tolist() == want
+
+
 @pytest.mark.parametrize("most, at_once", [(1000, 1 << 20), (1000, 700), (6, 50)])
 def test_a_full_table_gives_way_to_the_library(monkeypatch, most, at_once):
     monkeypatch.setattr(tokencount, "MOST_STATES", most)

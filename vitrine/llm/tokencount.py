@@ -1,7 +1,8 @@
 """Token counts by a compiled finite-state transducer.
 
 The tokenizer file (layout 'word' of wordids: lower case, pre-tokens with word ends) becomes a
-deterministic transducer over characters whose transitions carry the number of tokens emitted.
+deterministic transducer over the UTF-8 bytes of normalised texts whose transitions carry the
+number of tokens emitted. A character's last byte decides; the bytes before it emit nothing.
 
 States inside a pre-token. Byte-pair encodings have a local test: a token sequence is the
 encoding of its text exactly if each neighbouring pair is the encoding of its own text. So each
@@ -16,17 +17,22 @@ States between pre-tokens: a start, and the few that decide contractions.
 
 States are made when first met and kept in a dense table of at most MOST_STATES. Where a run of
 texts would pass that, as random letters do, the run is counted by the library word by word, and
-the table starts anew. So a worker's memory does not grow with its texts. Texts are laid end to end, cut into
-chunks, and all chunks step through the table at once. White space leads every state to the
-start, so a chunk's state map is: its part up to its first white space (a function of the
-entry state), a fixed count after it, and a fixed exit state. Maps are composed left to right:
-once a chunk's exit is known, the next chunk's head is run from it, all such heads at once.
-A chunk without white space keeps its whole map open until its predecessor is known.
+the table starts anew. So a worker's memory does not grow with its texts.
+
+Chunks. Texts are laid end to end, cut into chunks, and all chunks step through the table at once.
+White space leads every state to the start, so what follows a chunk's first white space is the same
+for every entry state; what goes before it, the chunk's head, is its state map: from an entry state
+to (exit state, tokens of the head). A map is held on some entry states only: what the chunk before
+leads to when it is entered at the start, then whatever the maps before lead to, until each map's
+exits are entries of the next one. Chunks that the same bytes precede share new entries, so that
+repeating texts close as fast as others. Maps are then composed by a parallel prefix scan, doubling
+the number of chunks that a map spans, which names each chunk's true entry at once.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -43,10 +49,20 @@ START, APOS, APOS_R, APOS_V, APOS_L = range(5)
 _SHORT = {(APOS, "s"): "'s", (APOS, "t"): "'t", (APOS, "m"): "'m", (APOS, "d"): "'d", (APOS_R, "e"): "'re", (APOS_V, "e"): "'ve", (APOS_L, "l"): "'ll"}
 _OPEN = {"r": APOS_R, "v": APOS_V, "l": APOS_L}
 _HELD = {APOS: "", APOS_R: "r", APOS_V: "v", APOS_L: "l"}
-WIDTH = 128  # characters of the plain alphabet, lower-cased, that have a column of their own
-BIAS, SHIFT = 32, 6
+WIDTH, BIAS, SHIFT, PART = 128, 128, 8, "part"
 #: States a table has at most, some 3 KB each, and neighbouring tokens remembered; they change speed alone.
 MOST_STATES, MOST_PAIRS = 200_000, 2_000_000
+BLANKS = bytes.maketrans(b"\t\n\r", b"   ")
+#: Control characters, which the plain alphabet lacks, are spelt in two bytes as UTF-8 would if it allowed that.
+CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+#: Columns. White space is 0. Bytes that begin a character have columns of their own, upper-case letters none.
+#: Only a character's later bytes can follow its earlier ones, so those share columns with the others.
+BEGINS = [b for b in (32, *range(33, 65), *range(91, 127), *range(0xC0, 0xF5))]
+COLUMN = np.zeros(256, dtype=np.uint8)
+COLUMN[BEGINS] = np.arange(len(BEGINS))
+COLUMN[0x80:0xC0] = np.arange(1, 65)
+#: Bytes before a chunk by which chunks share entry states.
+BEFORE = 8
 CHUNK = 512
 #: Characters given to the library at once, unless one word is longer.
 AT_ONCE = 1 << 20
@@ -72,12 +88,6 @@ class Transducer:
         self.ranks = {(closed(a), closed(b)): r for r, (a, b) in enumerate(pairs)}
         self.pair_ok: dict[tuple[str | None, str], bool] = {}
         self.kinds: dict[str, str] = {}
-        low = sorted({c.lower() for c in map(chr, range(256)) if PLAIN.fullmatch(c)} - set("\t\n\r "))
-        assert len(low) < WIDTH
-        self.column = np.zeros(256, dtype=np.uint8)  # column 0: white space
-        for i, c in enumerate(low, 1):
-            self.column[ord(c)] = i
-        self.characters = [" ", *low]
         self.fresh()
 
     def fresh(self) -> None:
@@ -190,6 +200,20 @@ class Transducer:
         after, k = self.step(after, c)
         return after, n + k
 
+    def after(self, key, column: int) -> tuple[object, int]:
+        """The next state and the tokens emitted, for one byte of UTF-8 by its column."""
+        if not (isinstance(key, tuple) and key[0] == PART):
+            if BEGINS[column] < 0x80:
+                return self.step(key, chr(BEGINS[column]))
+            return (PART, key, bytes([BEGINS[column]])), 0
+        _, state, held = key
+        if not 0 < column <= 64:  # no character goes on like that; only a wrongly guessed entry could meet it
+            return self.after(state, column)
+        held += bytes([0x7F + column])
+        if len(held) < (2 if held[0] < 0xE0 else 3 if held[0] < 0xF0 else 4):
+            return (PART, state, held), 0
+        return self.step(state, chr((held[0] & 0x1F) << 6 | held[1] & 0x3F) if len(held) == 2 else held.decode(errors="replace"))
+
     # the dense table
 
     def number(self, key) -> int:
@@ -205,7 +229,9 @@ class Transducer:
 
     def compiled(self, cells: np.ndarray) -> None:
         for cell in np.unique(cells).tolist():
-            after, n = self.step(self.keys[cell // WIDTH], self.characters[cell % WIDTH])
+            after, n = self.after(self.keys[cell // WIDTH], cell % WIDTH)
+            if not -BIAS <= n < BIAS:
+                raise Full
             at = self.number(after)
             self.table[cell] = at << SHIFT | n + BIAS
 
@@ -221,37 +247,67 @@ class Transducer:
             states = found >> SHIFT
         return states
 
-    def emitted(self, columns: np.ndarray) -> np.ndarray:
-        """For one long row of columns that ends in white space: what each character emits."""
-        n = len(columns)
+    def heads(self, by_step: np.ndarray, lengths: np.ndarray, chunks: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For chunks entered in some states: the states after their heads, and the tokens of these."""
+        states, counts, live = entries.astype(np.int32), np.zeros(len(chunks), dtype=np.int64), np.arange(len(chunks))
+        for k in range(CHUNK):
+            live = live[lengths[chunks[live]] > k]
+            if not len(live):
+                break
+            got = np.empty((1, len(live)), dtype=np.int8)
+            states[live] = self.run(by_step[k : k + 1, chunks[live]], states[live], got)
+            counts[live] += got[0]
+        return states, counts
+
+    def maps(self, by_step: np.ndarray, lengths: np.ndarray, resets: np.ndarray, exits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The chunks' state maps as rows (chunk and entry state in one number, exit state, tokens).
+
+        resets: chunks with white space; exits: each chunk's exit if it is entered at the start.
+        """
+        lanes = len(exits)
+        before = np.zeros(lanes, dtype=np.uint64)
+        before[1:] = np.ascontiguousarray(by_step[-BEFORE:, :-1].T).view(np.uint64).ravel()
+        inner = np.flatnonzero(np.r_[False, ~resets[:-1]])  # chunks that more than one state may enter
+        inner = inner[np.argsort(before[inner], kind="stable")]
+        alike = before[inner]
+        todo = np.arange(lanes, dtype=np.int64) << 32 | np.r_[0, exits[:-1]]
+        known, rows = np.empty(0, dtype=np.int64), []
+        while len(todo):
+            chunk, entry = todo >> 32, todo & 0xFFFFFFFF
+            states, counts = self.heads(by_step, lengths, chunk, entry)
+            leave = np.where(resets[chunk], exits[chunk], states).astype(np.int64)
+            rows.append((todo, leave, counts))
+            known = np.union1d(known, todo)
+            on = ~resets[chunk] & (chunk + 1 < lanes)
+            todo = np.setdiff1d(chunk[on] + 1 << 32 | leave[on], known)
+            if len(todo):
+                same, state = np.unique(np.stack([before[todo >> 32], (todo & 0xFFFFFFFF).astype(np.uint64)]), axis=1)
+                first, many = np.searchsorted(alike, same), np.searchsorted(alike, same, side="right")
+                many -= first
+                if many.sum() <= 4 * lanes:
+                    at = inner[np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())]
+                    todo = np.setdiff1d(at << 32 | np.repeat(state.astype(np.int64), many), known)
+        keys, leave, counts = map(np.concatenate, zip(*rows, strict=True))
+        return keys, leave, counts
+
+    def emitted(self, row: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Tokens of each text of a row of bytes. Texts begin at begins and end in white space."""
+        n = len(row)
         lanes = -(-n // CHUNK)
         padded = np.zeros(lanes * CHUNK, dtype=np.uint8)
-        padded[:n] = columns
+        padded[:n] = COLUMN[row]
         by_step = np.ascontiguousarray(padded.reshape(lanes, CHUNK).T)
         out = np.zeros((CHUNK, lanes), dtype=np.int8)
         exits = self.run(by_step, np.zeros(lanes, dtype=np.int32), out)
         space = by_step == 0
         resets = space.any(axis=0)
-        heads = np.where(resets, space.argmax(axis=0) + 1, CHUNK)  # characters whose result hangs on the entry state
-        open_ = np.arange(1, lanes)
-        known = resets.copy()
-        known[:1] = True
-        while len(open_):
-            ready = open_[known[open_ - 1]]
-            states, todo = exits[ready - 1], ready
-            for k in range(CHUNK):
-                live = heads[todo] > k
-                if not live.all():
-                    todo, states = todo[live], states[live]
-                if not len(todo):
-                    break
-                got = np.empty((1, len(todo)), dtype=np.int8)
-                states = self.run(by_step[k : k + 1, todo], states, got)
-                out[k, todo] = got[0]
-            exits[todo] = states  # left over are the chunks without white space
-            known[ready] = True
-            open_ = np.setdiff1d(open_, ready, assume_unique=True)
-        return out.T.reshape(-1)[:n]
+        lengths = np.where(resets, space.argmax(axis=0) + 1, CHUNK)
+        of_heads = composed(*self.maps(by_step, lengths, resets, exits), lanes)
+        out[np.arange(CHUNK)[:, None] < lengths] = 0
+        found = np.add.reduceat(out.T.reshape(-1)[:n], begins, dtype=np.int64)
+        # a head ends with the text that its chunk begins in
+        np.add.at(found, np.searchsorted(begins, np.arange(lanes) * CHUNK, side="right") - 1, of_heads)
+        return found
 
     def stepped(self, text: str) -> int:
         """Tokens of one text, character by character, without a table."""
@@ -262,7 +318,7 @@ class Transducer:
         return total
 
     def by_library(self, text: str) -> int:
-        """Tokens of one plain text, in parts that end in white space; a word longer than a part is stepped."""
+        """Tokens of one text, in parts that end in white space; a word longer than a part is stepped."""
         total = at = 0
         while at < len(text):
             end = len(text)
@@ -277,32 +333,47 @@ class Transducer:
 
     def counts(self, texts: list[str | None]) -> list[int]:
         """Tokens of each whole text (null: none), added tokens' strings counting one each."""
-        totals, plain, owners = [0] * len(texts), [], []
+        totals, parts, owners = [0] * len(texts), [], []
         for i, text in enumerate(texts):
             pieces = [text or ""]
             for s in self.special:
                 pieces = [x for p in pieces for x in p.split(s)]
             totals[i] = sum((text or "").count(s) for s in self.special)
-            for p in pieces:
-                if not p:
-                    continue
-                if PLAIN.fullmatch(p):
-                    plain.append(p)
-                    owners.append(i)
-                else:
-                    totals[i] += self.stepped(p)
-        if plain:
-            row = self.column[np.frombuffer(" ".join([*plain, ""]).lower().encode("latin-1"), dtype=np.uint8)]
-            begins = np.cumsum([0, *[len(p) + 1 for p in plain[:-1]]])
+            parts += (own := [p for p in pieces if p])
+            owners += [i] * len(own)
+        if parts:
+            rows = [self.normalised(p) for p in parts]
+            begins = np.cumsum([0, *[len(r) + 1 for r in rows[:-1]]])
             try:
-                found = np.add.reduceat(self.emitted(row), begins, dtype=np.int64).tolist()
+                found = self.emitted(np.frombuffer(b" ".join([*rows, b""]), dtype=np.uint8), begins).tolist()
             except Full:
                 self.fresh()
-                found = [self.by_library(p) for p in plain]
+                found = [self.by_library(p) for p in parts]
             for i, n in zip(owners, found, strict=True):
                 totals[i] += n
         return totals
 
+    def normalised(self, text: str) -> bytes:
+        if PLAIN.fullmatch(text):
+            return text.lower().encode().translate(BLANKS)
+        out = self.library.normalizer.normalize_str(text).encode().translate(BLANKS)
+        return CONTROL.sub(lambda m: bytes([0xC0 | m[0][0] >> 6, 0x80 | m[0][0] & 0x3F]), out)
+
+
+def composed(keys: np.ndarray, leave: np.ndarray, counts: np.ndarray, lanes: int) -> np.ndarray:
+    """What each chunk's head emits, by a prefix scan over the rows of state maps()."""
+    order = np.argsort(keys)
+    keys, leave, counts = keys[order], leave[order], counts[order]
+    chunk, to = keys >> 32, np.arange(len(keys))
+    on = chunk + 1 < lanes
+    to[on] = np.searchsorted(keys, chunk[on] + 1 << 32 | leave[on])
+    entered, span = np.zeros(lanes, dtype=np.int64), 1  # each chunk's row; to: the row that is span chunks on
+    while span < lanes:
+        n = min(span, lanes - span)
+        entered[span : span + n] = to[entered[:n]]
+        to, span = to[to], 2 * span
+    return counts[entered]
+
 
 @cache
 def transducer(path: str) -> Transducer:
