@@ -25,6 +25,7 @@ from vitrine.llm import common
 HISTOGRAM, GROUP, ROWS = 64, 4096, 1024
 #: A query whose range leaves at most so many candidates above it needs no further round.
 FEW = 64
+CHOSEN = "query_id long, length long, place long, vec_id long, score long"
 
 
 def whole_numbers(vectors: DataFrame, scale: int = 256, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -138,9 +139,9 @@ def _chosen(rows: DataFrame, groups, k: int) -> DataFrame:
             kept[d] = [query[best], vec[best], value[best]]
         for d, (query, vec, value) in kept.items():
             if len(query):
-                yield pa.RecordBatch.from_arrays([pa.array(held[d].ids[query]), pa.array(query), pa.array(vec), pa.array(value)], names=["query_id", "place", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(held[d].ids[query]), pa.array(np.full(len(query), d)), pa.array(query), pa.array(vec), pa.array(value)], names=["query_id", "length", "place", "vec_id", "score"])
 
-    return rows.mapInArrow(choose, "query_id long, place long, vec_id long, score long")
+    return rows.mapInArrow(choose, CHOSEN)
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -161,7 +162,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, vector: st
     if bound >= 1 << 62:
         raise ValueError("scores of these vectors don't fit into 64 bits")
     parts = max(1, -(-n // GROUP))
-    out = None
+    path = common.shared_path(spark, "top-k")
     for p in range(parts):
         own = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == p)
         by_length: dict[int, list] = {}
@@ -174,8 +175,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, vector: st
             for d, g in held.items():
                 g.refine(counts[d])
             groups.unpersist()
-        best = _chosen(rows, spark.sparkContext.broadcast(held), k)
-        out = best if out is None else out.union(best)
-    order = Window.partitionBy("query_id", "place").orderBy(F.desc("score"), "vec_id")
+        groups = spark.sparkContext.broadcast(held)
+        _chosen(rows, groups, k).write.mode("append").parquet(path)  # so the plan does not grow with the queries
+        groups.unpersist()
+    out = spark.read.schema(CHOSEN).parquet(path)
+    order = Window.partitionBy("query_id", "length", "place").orderBy(F.desc("score"), "vec_id")
     ranked = out.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
