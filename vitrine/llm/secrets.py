@@ -7,10 +7,11 @@ kind. Spark's functions give matches but no places, so places are summed up from
 split() leaves between them, in code points.
 
 Models. Two first-order Markov chains over the characters of tokens are trained from labelled
-samples: random strings (hex, base 32, base 62, base 64) and ordinary identifiers (words of the
-documents, alone and joined). Add-one smoothing gives log P(next | previous) under each, and the
-sum of the differences over a token is its log-likelihood ratio. A token of at least LEAST
-characters whose ratio is at least RATIO, and MEAN a character, becomes a span of kind markov, if
+samples: random strings (hex, base 32, base 62, base 64) and ordinary identifiers (the words
+of all documents, alone and joined, each as often as documents hold it). P(next | previous) is the
+share in the sample, mixed with MIXED of an even one, so that it does not hang on the corpus' size.
+The sum of the differences of log P under the two over a token is its log-likelihood ratio. A token of
+at least 20 characters whose ratio is at least RATIO, and MEAN a character, becomes a span of kind markov, if
 no base span overlaps it.
 """
 
@@ -21,8 +22,6 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import common
-
 #: Kinds in the order of listing; patterns of the base kinds, and what a match must have.
 KINDS = ["assign", "access", "hex", "markov"]
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,41 +30,42 @@ HEX = r"[0-9a-f]{16,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RATIO, MEAN, DISTINCT = 8.0, 0.4, 8
-#: Labelled random strings of each alphabet, and documents whose words serve as identifiers.
-RANDOM_SAMPLES, IDENTIFIER_DOCUMENTS = 1000, 500
+#: Random strings drawn of each alphabet, the share of an even distribution in the models, and matches whose
+#: places are summed up at once.
+RANDOM_SAMPLES, MIXED, AT_ONCE = 1000, 0.05, 64
 
 
-def samples(docs: DataFrame, text: str = "text", key: str = "doc_id", random: int = RANDOM_SAMPLES, documents: int = IDENTIFIER_DOCUMENTS) -> DataFrame:
-    """(token, is_random): the bounded labelled sample that the models are trained from."""
+def samples(docs: DataFrame, text: str = "text", random: int = RANDOM_SAMPLES) -> DataFrame:
+    """(token, is_random, n): drawn strings, and the words of all docs with how many of them hold each."""
     spark = docs.sparkSession
     drawn = spark.range(random).select(F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256).alias("h"))
     b64 = F.base64(F.unhex("h"))
     kinds = [F.substring("h", 1, 40), F.upper(F.regexp_replace(b64, "[^A-Za-z2-7]", "")), F.regexp_replace(b64, "[^A-Za-z0-9]", ""), b64]
-    made = drawn.select(F.explode(F.array(*kinds)).alias("token"), F.lit(True).alias("is_random"))
-    chosen = common.smallest_hashes(docs.select(F.col(key).alias("k")).where("k IS NOT NULL"), "k", documents)
-    some = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen.distinct()), "k")  # bounded by documents
-    words = some.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit("[A-Za-z]{3,}"), F.lit(0)))).alias("token"))
-    joined = words.select(F.explode(F.array("token", F.concat("token", F.lit("_"), F.lower("token")), F.concat(F.lower("token"), F.initcap("token")), F.concat(F.lit("get-"), "token", F.lit("="), F.lower("token"), F.lit("2")))).alias("token"))
-    return made.unionByName(joined.select("token", F.lit(False).alias("is_random")))
+    made = drawn.select(F.explode(F.array(*kinds)).alias("token"), F.lit(True).alias("is_random"), F.lit(1).cast("long").alias("n"))
+    found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit("[A-Za-z]{3,}"), F.lit(0)))).alias("token"))
+    words = found.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    joined = F.array("token", F.concat("token", F.lit("_"), F.lower("token")), F.concat(F.lower("token"), F.initcap("token")), F.concat(F.lit("get-"), "token", F.lit("="), F.lower("token"), F.lit("2")))
+    return made.unionByName(words.select(F.explode(joined).alias("token"), F.lit(False).alias("is_random"), "n"))
 
 
-def trained(labelled: DataFrame, token: str = "token", label: str = "is_random") -> list[float]:
+def trained(labelled: DataFrame, token: str = "token", label: str = "is_random", weight: str = "n") -> list[float]:
     """Log-likelihood ratios by (previous, next) character, row by row over the alphabet.
 
-    Null tokens and labels and characters outside the alphabet are left out. The driver gets one
-    number for each pair of characters.
+    Null tokens, labels and weights and characters outside the alphabet are left out. The driver gets
+    one number for each pair of characters.
     """
     n = len(ALPHABET)
-    rows = labelled.where(F.col(label).isNotNull()).select(F.col(label).alias("y"), F.col(token).alias("s")).where(F.length("s") >= 2)
-    pairs = rows.select("y", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.col("s").substr(i, F.lit(2)))).alias("p"))
-    places = pairs.select("y", F.instr(F.lit(ALPHABET), F.substring("p", 1, 1)).alias("a"), F.instr(F.lit(ALPHABET), F.substring("p", 2, 1)).alias("b"))
-    counts = {(r.y, r.a, r.b): r["n"] for r in places.where("a > 0 AND b > 0").groupBy("y", "a", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = labelled.where(F.col(label).isNotNull()).select(F.col(label).alias("y"), F.col(token).alias("s"), F.col(weight).alias("w")).where(F.length("s") >= 2)
+    pairs = rows.select("y", "w", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.col("s").substr(i, F.lit(2)))).alias("p"))
+    counted = pairs.groupBy("y", "p").agg(F.sum("w").alias("n")).where("n IS NOT NULL")
+    places = counted.select("y", F.instr(F.lit(ALPHABET), F.substring("p", 1, 1)).alias("a"), F.instr(F.lit(ALPHABET), F.substring("p", 2, 1)).alias("b"), "n")
+    counts = {(r.y, r.a, r.b): r["n"] for r in places.where("a > 0 AND b > 0").collect()}
 
     def log_p(y: bool) -> list[float]:
         out = []
         for a in range(1, n + 1):
-            total = sum(counts.get((y, a, b), 0) for b in range(1, n + 1)) + n
-            out += [math.log((counts.get((y, a, b), 0) + 1) / total) for b in range(1, n + 1)]
+            total = sum(counts.get((y, a, b), 0) for b in range(1, n + 1))
+            out += [math.log((1 - MIXED) * (counts.get((y, a, b), 0) / total if total else 1 / n) + MIXED / n) for b in range(1, n + 1)]
         return out
 
     return [r - i for r, i in zip(log_p(True), log_p(False), strict=True)]
@@ -87,15 +87,23 @@ def _spans(text: Column, pattern: str, kind: str, guard: Column, group: int = 0,
     kinds = "array<struct<begin:int,rank:int,end:int,body:string,part:int>>"
     zipped = F.arrays_zip(found.alias("m"), parts.alias("p"), between.alias("b"))
     rank = KINDS.index(kind)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kinds).alias("out"))
 
     def one(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["b"])
         span = F.struct(start.alias("begin"), F.lit(rank).alias("rank"), (start + F.length(x["m"])).alias("end"), x["m"].alias("body"), F.length(x["p"]).alias("part"))
         return F.when(x["m"].isNull(), acc).otherwise(F.struct((start + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
 
+    # blocks of matches, so that what is copied for each match is bounded
     zipped = zipped.cast("array<struct<m:string,p:string,b:string>>")
-    every = F.aggregate(zipped, begin, one, lambda acc: F.filter(acc["out"], lambda s: s["part"] >= least))
+    blocks = F.transform(F.sequence(F.lit(0), F.size(zipped) - 1, F.lit(AT_ONCE)), lambda i: F.slice(zipped, i + 1, F.lit(AT_ONCE)))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kinds}>").alias("out"))
+
+    def block(acc: Column, xs: Column) -> Column:
+        begin = F.struct(acc["at"].alias("at"), F.array().cast(kinds).alias("out"))
+        own = F.aggregate(xs, begin, one)
+        return F.transform(F.array(own), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))[0]
+
+    every = F.aggregate(blocks, start, block, lambda acc: F.filter(F.flatten(acc["out"]), lambda s: s["part"] >= least))
     return F.when(guard, every).otherwise(F.array().cast(kinds))
 
 
