@@ -17,11 +17,12 @@ Equal fingerprints are one row from the start, so copies cost nothing.
 
 Where a Jaccard bound is asked for, fingerprints only find candidates, in a radius that leaves room
 for their error, and whose sets are not too unlike in size. A link counts if the shingle sets
-themselves reach the bound. Rounds verify all candidates that matter: in the first ones each text tries
-its nearest few, then the nearest few outside its component, which join most of what belongs together;
-the last one tries every candidate pair whose ends are not yet in one component. There texts carry 16
-bits of each shingle's hash, which bound what two sets share from above, so that groups of texts just
-below the similarity are told apart within a bucket and only pairs that pass the bound leave it.
+themselves reach the bound. Three rounds verify all candidates that matter. In the first, over a share
+of the bands, each text tries its nearest few, which join most of what belongs together. In the second,
+over all bands, each tries the nearest few outside its component; texts without any are done. The last
+one tries every candidate pair whose ends are not yet in one component. There texts carry 16 bits of
+each shingle's hash, which bound what two sets share from above, so that groups of texts just below the
+similarity are told apart within a bucket and only pairs that pass the bound leave it.
 """
 
 from __future__ import annotations
@@ -43,8 +44,8 @@ BUCKET = 1024
 LEAST_WIDTH, BUCKET_BITS = 13, 5
 #: Buckets above BUCKET whose keys may be broadcast; with more of them the join shuffles.
 BROADCAST_KEYS = 200_000
-#: Nearest candidates that each text tries in a round but the last.
-TRIES = 3
+#: Nearest candidates that each text tries in a round but the last, and the part of the bands that the first takes.
+TRIES, EARLY = 3, 4
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -232,17 +233,6 @@ def nearest(similarity: float):
     return pick
 
 
-def partnered(similarity: float):
-    """The rows that have a possible partner, each linked to itself."""
-
-    def pick(t: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
-        a, b, _ = possible(t, a, b, similarity)
-        rows = t["rep"][np.unique(np.r_[a, b])]
-        return rows, rows, np.zeros(len(rows), dtype=np.int64)
-
-    return pick
-
-
 def bounded(similarity: float):
     """All possible pairs whose sets can share enough, by the 16 bits of their hashes."""
 
@@ -446,23 +436,29 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, size: int = 5, words:
     reps = common.written(fps.groupBy("same").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), F.min("size").alias("size")), "fingerprints")
     nodes = reps.where(F.col("rep").isNotNull()).withColumn("own", F.col("rep"))
     keys = drawn(bits, *banding(nodes.count(), similarity, recall))
-    pairs = common.written(links(nodes, radius, keys, pick=nearest(similarity)), "candidates")
-    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    near = common.written(nodes.drop("own").join(ends, "rep", "left_semi"), "near")
-    sets = docs.select(F.col(text).alias("t")).mapInArrow(held, "same long, held binary").groupBy("same").agg(F.first("held").alias("held"))
-    sets = common.written(sets.join(near.select("same", "rep"), "same").select("rep", "held"), "shingle-sets")
-    good = common.written(verified(few(pairs, TRIES), sets, similarity), "links")
 
-    def outside(good: DataFrame) -> DataFrame:
+    def candidates(rows: DataFrame, keys: list[np.ndarray]) -> tuple[DataFrame, DataFrame]:
+        """(pairs, the rows in them)"""
+        pairs = common.written(links(rows, radius, keys, pick=nearest(similarity)), "candidates")
+        ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+        return pairs, common.written(nodes.drop("own").join(ends, "rep", "left_semi"), "near")
+
+    def sets_of(rows: DataFrame) -> DataFrame:
+        found = docs.select(F.col(text).alias("t")).mapInArrow(held, "same long, held binary").join(rows.select("same", "rep"), "same")
+        return common.written(found.groupBy("same", "rep").agg(F.first("held").alias("held")).select("rep", "held"), "shingle-sets")
+
+    def outside(rows: DataFrame, good: DataFrame) -> DataFrame:
         own = components(good).withColumnRenamed("node", "rep")
-        return common.written(near.join(own, "rep", "left").select("rep", "fp", F.coalesce("component", "rep").alias("own"), "size"), "near")
-
-    again = few(links(outside(good), radius, keys, pick=nearest(similarity)), TRIES)
-    good = common.written(good.union(verified(again, sets, similarity)), "links")
-    now = outside(good)
-    open_ = links(now, radius, keys, pick=partnered(similarity)).select(F.col("a").alias("rep")).distinct()
-    now = common.written(now.join(open_, "rep", "left_semi").join(sets, "rep").select("rep", "fp", "own", "size", "held").mapInArrow(sketched, "rep long, fp binary, own long, size long, sketch binary"), "open")
-    rest = links(now, radius, keys, pick=bounded(similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return common.written(rows.join(own, "rep", "left").select("rep", "fp", F.coalesce("component", "rep").alias("own"), "size"), "near")
+
+    pairs, near = candidates(nodes, keys[: -(-len(keys) // EARLY)])
+    sets = sets_of(near)
+    good = common.written(verified(few(pairs, TRIES), sets, similarity), "links")
+    pairs, near = candidates(outside(nodes.drop("own"), good), keys)
+    sets = sets.union(sets_of(near.join(sets, "rep", "left_anti")))
+    good = common.written(good.union(verified(few(pairs, TRIES), sets, similarity)), "links")
+    open_ = outside(near, good).join(sets, "rep").select("rep", "fp", "own", "size", "held").mapInArrow(sketched, "rep long, fp binary, own long, size long, sketch binary")
+    rest = links(common.written(open_, "open"), radius, keys, pick=bounded(similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     good = good.union(verified(rest, sets, similarity))
     found = components(good)
     named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component_id"))
