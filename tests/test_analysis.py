@@ -145,3 +145,72 @@ def test_settings(spark):
     p, retry = providers.provider_from(s, lambda u, h, b: (200, {}), {"claude": "k"})
     assert (p.kind, p.model, p.key, retry.attempts, retry.local) == ("claude", "c1", "k", 3, False)
     assert s.flag("flag") and not s.flag("none") and s.number("none", 5) == 5
+
+
+def test_video_falls_back_to_its_main_frame(spark):
+    class Narrow:
+        def __init__(self, single):
+            self.single = single
+
+        def analyze(self, frames, prompt):
+            if len(frames) > 1 or not self.single:
+                raise analysis.ProviderError(f"status 500 over {len(frames)}")
+            return ",".join(frames)
+
+    media = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["z"])], "id long, frames array<string>")
+    got = lambda single, main: {r.media_id: (r.response, r.error) for r in analysis.analyzed(media, lambda: Narrow(single), "p", main=main).collect()}
+    assert got(True, 1) == {1: ("b", None), 2: ("z", None)}
+    assert got(True, None) == {1: (None, "status 500 over 3"), 2: ("z", None)}
+    assert got(False, 1) == {1: (None, "status 500 over 1"), 2: (None, "status 500 over 1")}
+
+
+def test_compared_levels(spark):
+    class Echo:
+        def __init__(self, level):
+            self.level = level
+
+        def analyze(self, frames, prompt):
+            if self.level == "balanced" and frames[0] == "b":
+                raise analysis.ProviderError("no")
+            return f"{self.level} {prompt} {frames[0]}"
+
+    def make(level):
+        if level == "descriptive":
+            raise analysis.ProviderError("no such model")
+        return Echo(level)
+
+    media = spark.createDataFrame([(1, ["a"]), (2, ["b"])], "id long, frames array<string>")
+    got = {(r.media_id, r.granularity): (r.response, r.error) for r in analysis.compared_levels(media, make, {x: x[:1] for x in analysis.LEVELS}).collect()}
+    assert got == {
+        (1, "atomic"): ("atomic a a", None),
+        (2, "atomic"): ("atomic a b", None),
+        (1, "balanced"): ("balanced b a", None),
+        (2, "balanced"): (None, "no"),
+        (1, "descriptive"): (None, "no such model"),
+        (2, "descriptive"): (None, "no such model"),
+    }
+
+
+def test_pause_resume_cancel(spark):
+    import threading
+
+    media = spark.range(1, 7).withColumnRenamed("id", "id")
+    answer = lambda m: m.selectExpr("id AS media_id", "'x' AS response", "CAST(NULL AS STRING) AS error")
+    control = analysis.Control(spark)
+    control.pause()
+    assert control.status == "paused"
+    threading.Timer(0.2, control.resume).start()
+    assert sum(p.count() for p in analysis.with_limit(media, 4, answer, batch=2, control=control)) == 4
+    assert control.status == "running"
+    calls = []
+
+    def stopping(m):
+        calls.append(1)
+        if len(calls) == 2:
+            control.cancel()
+            raise RuntimeError("the batch in flight is lost")
+        return answer(m)
+
+    assert sum(p.count() for p in analysis.with_limit(media, 6, stopping, batch=2, control=control)) == 2
+    assert control.status == "cancelled" and analysis.with_limit(media, 6, answer, control=control) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

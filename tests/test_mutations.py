@@ -109,3 +109,28 @@ def test_seeds_and_migration(spark):
     assert rows(mutations.set_setting(schema.empty(spark, schema.SETTINGS), "a", "b"), "key", "value") == [("a", "b")]
     f = mutations.add_folder(schema.empty(spark, schema.SCAN_FOLDERS), "/x", 1)
     assert mutations.add_folder(f, "/x", 2).count() == 1
+
+
+def test_the_next_copy_leads_after_a_failure(spark):
+    from pyspark.sql import functions as F
+
+    from vitrine.operators import ingest
+    from vitrine.operators.mutations import Catalog
+
+    rows = [(1, "h", "pending"), (2, "h", "pending"), (3, "h", "pending"), (4, None, "pending"), (5, "g", "pending"), (6, "g", "pending"), (7, "d", "completed"), (8, "d", "pending")]
+    media = spark.createDataFrame(rows, "id long, file_hash string, analysis_status string").withColumn("file_size", F.lit(1)).withColumn("analysis_error", F.lit(None).cast("string"))
+    links = spark.createDataFrame([(7, 70)], "media_id long, tag_id long")
+    asked = []
+
+    def analyse(lead):
+        ids = sorted(r.id for r in lead.select("id").collect())
+        asked.append(ids)
+        results = [(i, "broken" if i in (1, 5, 6) else None) for i in ids if i != 4]
+        return spark.createDataFrame(results, "media_id long, error string"), spark.createDataFrame([(i, 10 * i) for i in ids], "media_id long, tag_id long")
+
+    out = ingest.analysed(Catalog(media=media, tags=spark.range(0), media_tags=links), analyse)
+    assert asked == [[1, 4, 5], [2, 6]]
+    assert {r.id: (r.analysis_status, r.analysis_error) for r in out.media.collect()} == {
+        1: ("failed", "broken"), 2: ("completed", None), 3: ("completed", None), 4: ("failed", "no answer"), 5: ("failed", "broken"), 6: ("failed", "broken"), 7: ("completed", None), 8: ("completed", None),
+    }
+    assert sorted(map(tuple, out.media_tags.select("media_id", "tag_id").collect())) == [(2, 20), (3, 20), (7, 70), (8, 70)]

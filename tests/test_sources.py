@@ -61,3 +61,19 @@ def test_agreement(spark):
     rows = spark.createDataFrame([("c", "i", 1, True, ["a", "b"]), ("c", "i", 2, True, ["b", "c"]), ("c", "j", 1, True, ["a"]), ("c", "j", 2, False, ["z"])], "cond string, image string, rep int, parse_ok boolean, tags array<string>")
     r = reports.agreement(rows).first()
     assert (r.vocabulary, r.mean_jaccard) == (3, 0.333333)
+
+
+def test_log_stream(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    stamp = "2024-01-01 00:00:00"
+    files.append_log(spark, folder, [files.log_line("INFO", "one", stamp), files.log_line("ERROR", "two", stamp)])
+
+    stream = reports.log_filter(files.log_stream(spark, folder), "", ["ERROR"])
+    query = stream.writeStream.format("memory").queryName("log_tail").start()
+    try:
+        query.processAllAvailable()
+        files.append_log(spark, folder, [files.log_line("ERROR", "three", stamp)])
+        query.processAllAvailable()
+        assert sorted(r.value.rsplit(" ", 1)[1] for r in spark.table("log_tail").collect()) == ["three", "two"]
+    finally:
+        query.stop()

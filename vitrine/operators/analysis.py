@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import threading
+import uuid
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -158,10 +160,21 @@ class Context:
             size = min(size * 2, self.CAP)
 
 
-def analyzed(media: DataFrame, make: Callable[[], Provider], prompt: str, retry: Retry | None = None, key: str = "id", frames: str = "frames") -> DataFrame:
-    """(media_id, response, error) from media (key, frames: array). One provider for each partition."""
+def analyzed(media: DataFrame, make: Callable[[], Provider], prompt: str, retry: Retry | None = None, key: str = "id", frames: str = "frames", main: int | None = None) -> DataFrame:
+    """(media_id, response, error) from media (key, frames: array). One provider for each partition.
+
+    With main, media of several frames whose call fails are asked again with that frame alone.
+    """
     how = retry or Retry()
 
+    def answer(provider: Provider, images: list) -> str:
+        try:
+            return how.call(provider, images, prompt)
+        except ProviderError:
+            if main is None or len(images) < 2:
+                raise
+            return how.call(provider, [images[main]], prompt)
+
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
@@ -170,7 +183,7 @@ def analyzed(media: DataFrame, make: Callable[[], Provider], prompt: str, retry:
             out = []
             for row in batch.itertuples(index=False):
                 try:
-                    out.append((getattr(row, key), how.call(provider, list(getattr(row, frames)), prompt), None))
+                    out.append((getattr(row, key), answer(provider, list(getattr(row, frames))), None))
                 except ProviderError as e:
                     out.append((getattr(row, key), None, str(e)))
             yield pd.DataFrame(out, columns=["media_id", "response", "error"])
@@ -178,19 +191,57 @@ def analyzed(media: DataFrame, make: Callable[[], Provider], prompt: str, retry:
     return media.select(key, frames).mapInPandas(run, "media_id long, response string, error string")
 
 
-def with_limit(media: DataFrame, most: int, analyse: Callable[[DataFrame], DataFrame], stop_after: int = 3, batch: int = 50) -> list[DataFrame]:
+class Control:
+    """Pause, resume and cancel for a run, to be called from any thread of the driver."""
+
+    def __init__(self, spark):
+        self.spark, self.group, self.cancelled = spark, f"analysis-{uuid.uuid4().hex}", False
+        self._open = threading.Event()
+        self._open.set()
+
+    @property
+    def status(self) -> str:
+        return "cancelled" if self.cancelled else "running" if self._open.is_set() else "paused"
+
+    def pause(self) -> None:
+        if not self.cancelled:
+            self._open.clear()
+
+    def resume(self) -> None:
+        self._open.set()
+
+    def cancel(self) -> None:
+        """Ends the run; the jobs of the batch in flight are stopped and its answers dropped."""
+        self.cancelled = True
+        self._open.set()
+        self.spark.sparkContext.cancelJobGroup(self.group)
+
+    def proceed(self) -> bool:
+        """Waits while paused; whether to go on."""
+        self._open.wait()
+        return not self.cancelled
+
+
+def with_limit(media: DataFrame, most: int, analyse: Callable[[DataFrame], DataFrame], stop_after: int = 3, batch: int = 50, control: Control | None = None) -> list[DataFrame]:
     """Results of batches of media by id, until `most` succeeded or stop_after failed in a row.
 
     Each batch's answers are written before they are counted, so no model is asked twice. The driver
-    holds one batch's outcomes at a time.
+    holds one batch's outcomes at a time. A control can pause the run between batches, and cancel it.
     """
+    if control:
+        media.sparkSession.sparkContext.setJobGroup(control.group, "analysis", interruptOnCancel=True)
     done, fails, last, out = 0, 0, -(1 << 62), []
-    while done < most and fails < stop_after:
+    while done < most and fails < stop_after and (control is None or control.proceed()):
         ids = [r.id for r in media.where(F.col("id") > last).orderBy("id").limit(min(batch, most - done)).select("id").collect()]
         if not ids:
             break
         last = ids[-1]
-        got = written(analyse(media.where(F.col("id").isin(ids))), "answers")
+        try:
+            got = written(analyse(media.where(F.col("id").isin(ids))), "answers")
+        except Exception:
+            if control and control.cancelled:
+                break
+            raise
         outcomes = {r.media_id: r.error for r in got.select("media_id", "error").collect()}
         kept = []
         for i in ids:
@@ -211,6 +262,32 @@ def level_jobs(media: DataFrame) -> DataFrame:
     return media.withColumn("granularity", F.explode(F.array(*map(F.lit, LEVELS))))
 
 
+def compared_levels(media: DataFrame, make: Callable[[str], Provider], prompts: Mapping[str, str], retry: Retry | None = None, key: str = "id", frames: str = "frames") -> DataFrame:
+    """(media_id, granularity, response, error): each row at every level, to be compared, not stored.
+
+    prompts: each level's detailed prompt, whatever prompt the settings choose. make(level) gives the
+    provider. A level whose provider can't be made, or fails, has its error, and the others go on.
+    """
+    how = retry or Retry()
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        providers: dict[str, Provider] = {}
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                level = row.granularity
+                try:
+                    provider = providers.get(level) or providers.setdefault(level, make(level))
+                    out.append((getattr(row, key), level, how.call(provider, list(getattr(row, frames)), prompts[level]), None))
+                except ProviderError as e:
+                    out.append((getattr(row, key), level, None, str(e)))
+            yield pd.DataFrame(out, columns=["media_id", "granularity", "response", "error"])
+
+    return level_jobs(media.select(key, frames)).mapInPandas(run, "media_id long, granularity string, response string, error string")
+
+
 def video_frames(media: DataFrame, at: str = "timestamp", duration: str = "duration", spread: float = 2.0) -> DataFrame:
     """(id, frame, seconds): the frame at a time and its two neighbours, within the video."""
     times = [S.clamp(F.col(at) + d, duration) for d in (-spread, 0.0, spread)]

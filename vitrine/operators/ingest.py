@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.operators.mutations import Catalog, _next_ids, add_links, without_orphans
 from vitrine.operators import filters
+from vitrine.operators.mutations import Catalog, _next_ids, add_links, mark_results, replaced_links, without_orphans
+from vitrine.sources.shared import written
 
 
 def transitions(media: DataFrame, listing: DataFrame) -> DataFrame:
@@ -82,6 +84,28 @@ def copied(cat: Catalog, pairs: DataFrame | None = None) -> Catalog:
     return replace(cat, media=media, media_tags=add_links(cat.media_tags, links))
 
 
+def analysed(cat: Catalog, analyse: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> Catalog:
+    """The catalogue when nothing is pending any more.
+
+    analyse(media) gives results (media_id, error) and links (media_id, tag_id). Each round asks it once
+    for the leaders of all groups of copies. Copies of one that succeeded get its links; where a leader
+    failed, the next pending copy leads in the next round. No answer for a row is a failure.
+    """
+    cat = copied(cat)
+    while True:
+        cat = replace(cat, media=written(cat.media, "media"), media_tags=written(cat.media_tags, "links"))
+        lead = written(cat.media.join(leaders(cat.media).where("id = leader_id").select("id"), "id", "left_semi"), "leaders")
+        if not lead.limit(1).count():
+            return cat
+        results, links = analyse(lead)
+        answers = results.select("media_id", "error", F.lit(True).alias("__got")).dropDuplicates(["media_id"])
+        error = F.when(F.col("__got").isNull(), "no answer").otherwise(F.col("error"))
+        results = written(lead.select(F.col("id").alias("media_id")).join(answers, "media_id", "left").select("media_id", error.alias("error")), "results")
+        good = results.where("error IS NULL").select("media_id")
+        links = links.join(good, "media_id", "left_semi").select("media_id", "tag_id").distinct()
+        cat = copied(replace(cat, media=mark_results(cat.media, results), media_tags=replaced_links(cat.media_tags, links, good)))
+
+
 def missing(media: DataFrame, listing: DataFrame) -> DataFrame:
     return media.join(listing.select("file_path"), "file_path", "left_anti")
 

@@ -119,8 +119,9 @@ def rename_tag(tags: DataFrame, tag_id: int, name: str, name_ja: str | None) ->
 
 
 def merge_tags(cat: Catalog, mapping: DataFrame) -> Catalog:
-    """mapping (source, target): links move to targets once, sources go, then all orphans do."""
-    moves = mapping.where("source <> target").select("source", "target").dropDuplicates(["source"])
+    """mapping (source, target): links move to targets once, sources go, then all orphans do. Of
+    several targets of a source the smallest counts."""
+    moves = mapping.where("source <> target").groupBy("source").agg(F.min("target").alias("target"))
     links = cat.media_tags.join(moves, F.col("tag_id") == F.col("source"), "left").select("media_id", F.coalesce("target", "tag_id").alias("tag_id")).distinct()
     tags = cat.tags.join(moves.select(F.col("source").alias("id")), "id", "left_anti")
     return without_orphans(replace(cat, tags=tags, media_tags=links))

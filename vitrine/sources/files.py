@@ -50,6 +50,11 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.posexplode(F.split("value", "\n")).alias("line_no", "value")).where("value <> '' OR line_no > 0")
 
 
+def log_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of the lines (value) that append_log adds to a folder, for reports.log_filter()."""
+    return spark.readStream.text(folder)
+
+
 def log_line(level: str, message: str, now: str) -> str:
     return f"[{now}] [{level}] {message}"
 
