@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from vitrine.operators import graph, resolution
+from vitrine.operators import graph, resolution, spelling
 
 NAMES = [("smart_phone", None), ("smartphone", None), ("cat", "猫"), ("cats", None), ("kitty", "猫"), ("mountain_lake", None), ("mountain_view_lake", None), ("boardx", "開発ボードA"), ("boardy", "開発ボードB"), ("tree", None), ("tres", None), ("abcdefgh", None), ("abcdxfgy", None), ("zebra", "しま")]
 
@@ -86,3 +86,33 @@ def test_components(spark):
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100, 102: 100}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_close_names_are_all_there_once(spark):
+    draw = random.Random(7)
+    names = {"".join(draw.choices("abcd", k=draw.randint(5, 19))) for _ in range(150)}
+    for name in sorted(names):
+        chars = list(name)
+        for _ in range(draw.randint(1, 4)):
+            at = draw.randrange(len(chars))
+            chars[at : at + 1] = draw.choice([[], [draw.choice("abcd")], [chars[at], "d"]])
+        names.add("".join(chars[:19]))
+    rows = [(i, x, "basic" if i % 5 else "descriptive") for i, x in enumerate(sorted(x for x in names if len(x) >= 5))]
+    want = sorted((i, j, distance(x, y)) for (i, x, k), (j, y, m) in itertools.combinations(rows, 2) if k == m and max(len(x), len(y)) >= 8 and distance(x, y) <= 3)
+    assert len(want) > 100
+    tags = spark.createDataFrame(rows, "rank int, name string, kind string")
+    for block in (1000, 90, 60):
+        assert sorted(tuple(r) for r in spelling.close_names(tags, block=block).collect()) == want
+    linked = spelling.close_names(tags, connected=True, block=60)
+    whole = {r.node: r.component for r in graph.components(spark.createDataFrame([w[:2] for w in want], "a long, b long")).collect()}
+    assert {r.node: r.component for r in graph.components(linked, "rank1", "rank2").collect()} == whole
+    assert spelling.close_names(tags.limit(0)).count() == 0
+
+
+def test_exploded_rows_are_never_broadcast(spark, tmp_path):
+    """The planner takes what names explode into for as few bytes as the names."""
+    features(spark).write.parquet(str(tmp_path / "tags"))
+    tags = spark.read.parquet(str(tmp_path / "tags"))
+    assert "Broadcast" not in resolution.deletion_candidates(tags, 3)._jdf.queryExecution().executedPlan().toString()
+    plan = resolution.edit_candidates(tags, 3)._jdf.queryExecution().executedPlan().toString()
+    assert any("SortMergeJoin" in line and "part#" in line for line in plan.splitlines())

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import scalar as S
 from vitrine.operators.graph import components
+from vitrine.operators.spelling import close_names
 
 LEAST, MOST = 2, 15
 WORDY = 19
+#: Rows that may be broadcast, by their count; with more of them joins shuffle.
+BROADCAST_ROWS = 1_000_000
 DEFAULT_REASON = "類似タググループ"
 
 
@@ -53,7 +56,8 @@ def deletion_candidates(tags: DataFrame, k: int, least: int = 0) -> DataFrame:
         rows = rows.withColumn(f"level{i}", F.when(F.col("may") >= i, _shorter(F.col(f"level{i - 1}"))).otherwise(F.array().cast("array<string>")))
     rows = rows.select("rank", F.explode(F.concat(*[f"level{i}" for i in range(k + 1)])).alias("left"), "kind").select("rank", F.xxhash64("kind", "left").alias("left"))
     a, b = rows.toDF("rank1", "left"), rows.toDF("rank2", "left")
-    return a.join(b, "left").where("rank1 < rank2").select("rank1", "rank2").distinct()
+    # the planner takes exploded rows for as few as the tags they come from, and would broadcast them
+    return a.join(b.hint("merge"), "left").where("rank1 < rank2").select("rank1", "rank2").distinct()
 
 
 def edit_candidates(tags: DataFrame, k: int, others: DataFrame | None = None) -> DataFrame:
@@ -69,21 +73,42 @@ def edit_candidates(tags: DataFrame, k: int, others: DataFrame | None = None) ->
     begin = F.col("s.begin") + F.col("shift")
     probes = probes.where((begin >= 0) & (begin + F.col("s.size") <= F.length("name")))
     probes = probes.select(F.col("rank").alias("rb"), "kind", "n", F.col("s.place").alias("place"), F.col("name").substr(begin + 1, F.col("s.size")).alias("part")).distinct()
-    met = own.join(probes, ["kind", "n", "place", "part"]).where("ra <> rb")
+    met = own.join(probes.hint("merge"), ["kind", "n", "place", "part"]).where("ra <> rb")
     return met.select(F.least("ra", "rb").alias("rank1"), F.greatest("ra", "rb").alias("rank2")).distinct()
 
 
-def spelled(long: DataFrame) -> DataFrame:
-    """(rank1, rank2) of names one edit apart, or three where one has eight bytes or more, and more pairs.
+def spelled(long: DataFrame, connected: bool = False) -> DataFrame:
+    """(rank1, rank2, dist) of names one edit apart, or three where one has eight bytes or more, each pair once.
 
-    Names of bytes only and at most WORDY long meet by what deletions leave; pairs with a longer one,
-    whose segments are long, or one with wider characters meet by segments.
+    Names of bytes only and at most WORDY long meet block against block, or by what a deletion leaves where both
+    have fewer than eight; pairs with a longer one, whose segments are long, or one with wider characters meet by segments.
+    connected: of the first, stars that connect what the pairs do.
     """
-    n = F.length("name")
-    plain = (F.octet_length("name") == n) & (n <= WORDY)
-    words, others, five = long.where(plain), long.where(~plain), F.octet_length("name") >= 5
-    met = deletion_candidates(words, 1).union(deletion_candidates(words, 3, 8))
-    return met.union(edit_candidates(long, 1, others)).union(edit_candidates(long.where(five), 3, others.where(five))).distinct()
+    n, size = F.length("name"), F.octet_length("name")
+    plain = (size == n) & (n <= WORDY)
+    words, others, five = long.where(plain), long.where(~plain), size >= 5
+    met = deletion_candidates(words.where(n < 8), 1).union(edit_candidates(long, 1, others)).union(edit_candidates(long.where(five), 3, others.where(five))).distinct()
+    names = long.select("rank", "name")
+    got = met.join(names.toDF("rank1", "name1"), "rank1").join(names.toDF("rank2", "name2"), "rank2")
+    got = got.withColumn("dist", F.levenshtein("name1", "name2", 3))
+    a, b = F.octet_length("name1"), F.octet_length("name2")
+    got = got.where((F.abs(a - b) <= 3) & ((F.col("dist") == 1) | (F.col("dist").between(0, 3) & (F.greatest(a, b) >= 8))))
+    return close_names(words, connected).unionByName(got.select("rank1", "rank2", "dist"))
+
+
+def _spelt(tags: DataFrame) -> DataFrame:
+    return tags.select("rank", "kind", "name").where(F.octet_length("name") >= 4)
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """rows (a table that has been written), to be broadcast if they are few enough."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def identified(found: DataFrame, tags: DataFrame) -> DataFrame:
+    """found with ids (id1, id2) for ranks (rank1, rank2)."""
+    ids, rest = _counted(tags.select("rank", "id")), [c for c in found.columns if c not in ("rank1", "rank2")]
+    return found.join(ids.toDF("rank1", "id1"), "rank1").join(ids.toDF("rank2", "id2"), "rank2").select("id1", "id2", *rest)
 
 
 def rule_pairs(tags: DataFrame, rule: str) -> DataFrame:
@@ -105,13 +130,7 @@ def rule_pairs(tags: DataFrame, rule: str) -> DataFrame:
         got = _paired(long, long, ["head"])
         reason = F.concat(F.lit("類似日本語表記 ("), S.common_prefix("ja1", "ja2"), F.lit(")"))
     elif rule == "e":
-        long = slim.where(F.octet_length("name") >= 4)
-        met = spelled(long)
-        names = long.select("rank", "name")
-        got = met.join(names.toDF("rank1", "name1"), "rank1").join(names.toDF("rank2", "name2"), "rank2")
-        got = got.withColumn("dist", F.levenshtein("name1", "name2", 3))
-        a, b = F.octet_length("name1"), F.octet_length("name2")
-        got = got.where((F.abs(a - b) <= 3) & ((F.col("dist") == 1) | (F.col("dist").between(0, 3) & (F.greatest(a, b) >= 8))))
+        got = spelled(_spelt(tags))
         reason = F.concat(F.lit("類似スペル (編集距離 "), F.col("dist").cast("string"), F.lit(")"))
     else:
         raise ValueError(f"no such rule: {rule}")

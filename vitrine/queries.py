@@ -407,9 +407,7 @@ for _rule, _where in {
     @query(f"merge_rule_{_rule}", RULE.replace("{met}", MET[_rule]) + f" SELECT id1, id2 FROM x2 WHERE {_where}")
     def merge_rule(spark, d, rule=_rule):
         tags = _featured(spark, d)[1]
-        ids = tags.select("rank", "id")
-        got = resolution.rule_pairs(tags, rule)
-        return got.join(ids.toDF("rank1", "id1"), "rank1").join(ids.toDF("rank2", "id2"), "rank2").select("id1", "id2")
+        return resolution.identified(resolution.rule_pairs(tags, rule).select("rank1", "rank2"), tags)
 
 
 @query("merge_components")
