@@ -116,3 +116,13 @@ def test_exploded_rows_are_never_broadcast(spark, tmp_path):
     assert "Broadcast" not in resolution.deletion_candidates(tags, 3)._jdf.queryExecution().executedPlan().toString()
     plan = resolution.edit_candidates(tags, 3)._jdf.queryExecution().executedPlan().toString()
     assert any("SortMergeJoin" in line and "part#" in line for line in plan.splitlines())
+
+
+def test_linked_connects_what_pairs_do(spark):
+    draw = random.Random(3)
+    names = sorted({"".join(draw.choices("ab", k=draw.randint(9, 12))) for _ in range(40)})
+    rows = [(i, n, None, False, 1, "basic") for i, n in enumerate(names, 1)]
+    tags = resolution.featured(spark.createDataFrame(rows, "id long, name string, name_ja string, is_category boolean, count long, kind string"))
+    groups = [{tuple(r) for r in resolution.groups(f(tags)).collect()} for f in (resolution.pairs, resolution.linked)]
+    assert groups[0] == groups[1] and groups[0]
+    assert resolution.linked(tags).count() < resolution.pairs(tags).count() / 2

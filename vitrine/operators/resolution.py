@@ -155,6 +155,14 @@ def pairs(tags: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def linked(tags: DataFrame) -> DataFrame:
+    """(id1, id2) that connect whatever the pairs of the rules connect: where spelling makes many pairs, stars instead."""
+    edges = spelled(_spelt(tags), connected=True).select("rank1", "rank2")
+    for rule in "abcd":
+        edges = edges.union(rule_pairs(tags, rule).select("rank1", "rank2"))
+    return identified(edges, tags)
+
+
 def groups(found: DataFrame) -> DataFrame:
     """(tag_id, group_id) of all components of pairs."""
     return components(found, "id1", "id2").select(F.col("node").alias("tag_id"), F.col("component").alias("group_id"))

@@ -412,7 +412,7 @@ for _rule, _where in {
 
 @query("merge_components")
 def merge_components(spark, d):
-    return resolution.groups(resolution.pairs(_featured(spark, d)[1]))
+    return resolution.groups(resolution.linked(_featured(spark, d)[1]))
 
 
 @query("merge_suggestions")
