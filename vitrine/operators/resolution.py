@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import scalar as S
 from vitrine.operators.graph import components
 from vitrine.operators.spelling import close_names
+from vitrine.sources.shared import written
 
 LEAST, MOST = 2, 15
 WORDY = 19
@@ -140,12 +141,13 @@ def rule_pairs(tags: DataFrame, rule: str) -> DataFrame:
 def pairs(tags: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """(id1, id2, rule, reason): the first rule of each pair. extra: pairs (id1, id2) told by a model."""
     rules = None
-    for rule in "abcde":
+    for rule in "abcd":
         got = rule_pairs(tags, rule).withColumn("rule", F.lit(rule))
         rules = got if rules is None else rules.unionByName(got)
-    first = rules.groupBy("rank1", "rank2").agg(F.min(F.struct("rule", "reason")).alias("first"))
-    ids = tags.select("rank", "id")
-    out = first.join(ids.toDF("rank1", "id1"), "rank1").join(ids.toDF("rank2", "id2"), "rank2").select("id1", "id2", "first.rule", "first.reason")
+    first = written(rules.groupBy("rank1", "rank2").agg(F.min(F.struct("rule", "reason")).alias("first")).select("rank1", "rank2", "first.rule", "first.reason"), "first-pairs")
+    # spelling gives each pair once and by far the most, so they are not grouped
+    spelt = rule_pairs(tags, "e").join(_counted(first.select("rank1", "rank2")), ["rank1", "rank2"], "left_anti")
+    out = identified(first.unionByName(spelt.withColumn("rule", F.lit("e"))), tags).select("id1", "id2", "rule", "reason")
     if extra is not None:
         kinds = tags.select("id", "kind")
         told = extra.where("id1 <> id2").join(kinds.toDF("id1", "k1"), "id1").join(kinds.toDF("id2", "k2"), "id2").where("k1 = k2")
