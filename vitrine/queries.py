@@ -418,8 +418,12 @@ def merge_components(spark, d):
 @query("merge_suggestions")
 def merge_suggestions(spark, d):
     cat, tags = _featured(spark, d)
-    found = written(resolution.pairs(tags), "pairs")
-    got = resolution.suggestions(tags, found, cat.media, cat.media_tags)
+    members = written(resolution.groups(resolution.linked(tags)), "members")
+    listed = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= resolution.MOST)
+    # larger groups are no suggestions, so pairs and their reasons are needed in the others alone
+    few = written(tags.join(members.join(listed, "group_id").select(F.col("tag_id").alias("id")), "id", "left_semi").select(tags.columns), "listed-tags")
+    found = written(resolution.pairs(few), "pairs")
+    got = resolution.suggestions(few, found, cat.media, cat.media_tags)
     return got.select("id", F.col("target.id").alias("target_id"), F.array_join(F.transform("sources", lambda x: x["name"]), ",").alias("sources"), "reason", F.array_join("sample_thumbnails", ",").alias("samples"), "total_images_count")
 
 
