@@ -451,3 +451,16 @@ def test_ancestors_by_brute_force(spark):
         want.append((i, p, names.get(x), names.get(x) or stated.get(at), at if x not in names and at in stated else None))
     got = [(r.doc_id, r.path, r.own_license, r.license, r.inherited_from) for r in licenses.licensed(frame).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_passages_whose_edits_are_at_one_end():
+    """Not only the beginning of a passage leads to it."""
+    items = {i: " ".join(f"w{i}x{k}" for k in range(40 + 20 * i)) for i in range(12)}
+    search = decontam.Search(items)
+    texts = []
+    for t in items.values():
+        words = t.split()
+        e = len(words) // 5
+        texts += ["a b " + " ".join(f"z{k}" for k in range(e)) + " " + " ".join(words[e:]) + " c", " ".join(words[e:]), " ".join(words[:-e]) + " q" * e]
+    found = search.matches(texts)
+    assert [[m[0] for m in f] for f in found] == [[i] for i in items for _ in range(3)]

@@ -11,6 +11,10 @@ once; a window leaves a repetition at the first sample that no item has there. H
 a size needs for the target recall, with as many edits as verification accepts, is found by walking
 over edited sequences, drawn anew from a fixed seed for that size.
 
+Steps sampled from a walk lie near a window's beginning, so long items are searched for by parts too, of
+at most PART words: where a match has few enough edits for the item, one part at least has few enough for its
+own words, wherever in the item the edits are.
+
 A window is walked only if it can hold a match: of an item's n - 1 neighbouring pairs of words each
 edit takes two away at most, so windows with fewer than n - 1 - 2 * edits of them hold none.
 Where that says nothing, single words are counted, or all windows are walked.
@@ -43,6 +47,8 @@ LATIN = bytes(ord(c.lower()) if WORD.match(c) else 32 for c in map(chr, range(25
 RECALL = 0.98
 #: Samples are taken from so many first steps of a walk, where edits have driven the fewest walks apart.
 STEPS = 32
+#: Words of a part of an item at most: as many as a walk of STEPS reads.
+PART = 16
 #: Walks and edited sequences that measure how often a repetition finds an item.
 TRIALS, WALKS = 150, 64
 #: Bytes of items that are searched for in one pass; more items take more passes.
@@ -195,11 +201,17 @@ class Search:
         self.latin = {w.encode("latin-1"): k for w, k in self.vocabulary.items() if ord(max(w)) < 256}
         self.pad = len(self.vocabulary) + 1
         self.numbers = {i: np.array([self.vocabulary[w] for w in words], dtype=np.int64) for i, words in self.words.items()}
+        # (item, first word, end) of whole items and of parts
+        self.parts = [(i, 0, len(words)) for i, words in self.words.items() if words]
+        for i, _, n in [x for x in self.parts if x[2] > PART]:
+            cuts = [n * k // -(-n // PART) for k in range(-(-n // PART) + 1)]
+            self.parts += [(i, a, b) for a, b in zip(cuts, cuts[1:])]
+        self.item_of, self.first_of, self.end_of = (np.array(x, dtype=np.int64) for x in (zip(*self.parts, strict=True) if self.parts else ([], [], [])))
+        self.pieces = [self.numbers[i][a:b] for i, a, b in self.parts]
         sizes = defaultdict(list)
-        for i, words in self.words.items():
-            if words:
-                sizes[len(words)].append(i)
-        self.sizes = [Size(n, np.stack([self.numbers[i] for i in own]), own, similarity, self.pad, rounds) for n, own in sorted(sizes.items())]
+        for p, x in enumerate(self.pieces):
+            sizes[len(x)].append(p)
+        self.sizes = [Size(n, np.stack([self.pieces[p] for p in own]), own, similarity, self.pad, rounds) for n, own in sorted(sizes.items())]
         # what windows are chosen by: 2 pairs of words, 1 words, 0 nothing; and how many of them
         self.grain = [2 if s.n - 1 - 2 * s.edits >= 1 else 1 if s.n - s.edits >= 1 else 0 for s in self.sizes]
         self.least = [[1, s.n - s.edits, s.n - 1 - 2 * s.edits][g] for s, g in zip(self.sizes, self.grain, strict=True)]
@@ -211,7 +223,7 @@ class Search:
         for k, s in enumerate(self.sizes):
             if self.grain[k] == grain:
                 for i in s.owners[np.unique(s.owners, return_index=True)[1]].tolist():
-                    x = self.numbers[i]
+                    x = self.pieces[i]
                     keys = x if grain == 1 else x[:-1] * self.pad + x[1:]
                     found.append(np.stack([keys, np.full(len(keys), k)], axis=1))
         both = np.unique(np.concatenate(found), axis=0)
@@ -219,7 +231,7 @@ class Search:
         return keys, both[:, 1], np.append(at, len(both))
 
     def candidates(self, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(first word, item) for windows of row, word numbers with a 0 after each text and for strangers."""
+        """(first word, part) for windows of row, word numbers with a 0 after each text and for strangers."""
         by_size: dict[int, list[np.ndarray]] = defaultdict(list)
         for grain, (known, sizes, ends) in zip((1, 2), self.known, strict=True):
             if not len(known):
@@ -292,19 +304,21 @@ class Search:
         last = np.cumsum(np.array(sizes) + 1) - 1  # where each text ends
         begin = last - np.array(sizes)
         by_item: dict[int, list[np.ndarray]] = defaultdict(list)
-        for places, items in self.candidates(row):
+        for places, parts in self.candidates(row):
+            items, shift = self.item_of[parts], self.first_of[parts]
+            # a window belongs to the text that holds its middle
+            text = np.minimum(np.searchsorted(last, places + (self.end_of[parts] - shift) // 2), len(last) - 1)
+            places = np.stack([places - shift, text])
             order = np.argsort(items, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(items[order])) + 1):
                 if len(part):
-                    by_item[int(items[part[0]])].append(places[part])
+                    by_item[int(items[part[0]])].append(places[:, part])
         seen: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
         for item, found in by_item.items():
-            places = np.concatenate(found)
+            places, text = np.concatenate(found, axis=1)
             n = len(self.words[item])
             most = accepted(n, self.similarity)
-            # a window belongs to the text that holds its middle
-            text = np.minimum(np.searchsorted(last, places + n // 2), len(last) - 1)
-            low, high = np.maximum(places - most, begin[text]), np.minimum(places + n + most, last[text])
+            low, high = np.maximum(places - 2 * most, begin[text]), np.minimum(places + n + 2 * most, last[text])
             order = np.lexsort((low, text))
             low, high = low[order], np.maximum.accumulate(high[order])
             cuts = np.flatnonzero(low[1:] > high[:-1]) + 1  # texts are apart, so ranges of two never meet
